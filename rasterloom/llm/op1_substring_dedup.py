@@ -22,71 +22,93 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
-from .segments import Found, Grain, as_bytes, recurring, removed_units, window_hashes, word_units
+from .segments import Found, Grain, Shard, U, as_bytes, prefix, ramp, recurring, run_hash, window_hashes
 
 #: Passages in one automaton: bounds its memory to some tens of MB.
 AUTOMATON = 20_000
-
-
-def occurrences(ids: list[np.ndarray], passages: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int]]:
-    """(document, first word, passage) of every occurrence; passages are distinct sequences of word numbers."""
-    streams = [tuple(x.tolist()) for x in ids]
-    for at in range(0, len(passages), AUTOMATON):
-        some = passages[at : at + AUTOMATON]
-        a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, p in enumerate(some, at):
-            a.add_word(p, k)
+#: A word is written as so many symbols of 6 bits of its hash, the first from an alphabet of its own; matches are then verified by whole hashes.
+SYMBOLS = 4
+
+
+def spelled(units: np.ndarray) -> str:
+    """Words as symbols. Small alphabets keep the automaton's nodes narrow."""
+    out = np.empty((len(units), SYMBOLS), np.uint8)
+    for k in range(SYMBOLS):
+        out[:, k] = ((units >> U(6 * k)) & U(63)).astype(np.uint8) + (0x40 if k == 0 else 0x80)
+    return out.tobytes().decode("latin-1")
+
+
+def occurrences(units: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and passage of every occurrence of distinct passages; both are given as word hashes."""
+    gap = np.zeros(1, U)
+    stream = "\1\1\1\1".join(spelled(u) for u in units)
+    flat = np.concatenate([x for u in units for x in (u, gap)])
+    begin = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units])))
+    hashes = prefix(flat)
+    lens = np.array([len(p) for p in passages])
+    whole = prefix(np.concatenate(passages))
+    ends = np.cumsum(lens)
+    own = run_hash(whole, ends - lens, ends)
+    at, which = [], []
+    for first in range(0, len(passages), AUTOMATON):
+        a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        same: dict[int, list[int]] = {}
+        for k in range(first, min(len(passages), first + AUTOMATON)):
+            if not a.add_word(word := spelled(passages[k]), k):  # spelled as another: both are verified
+                same.setdefault(a.get(word), []).append(k)
         a.make_automaton()
-        for d, s in enumerate(streams):
-            if s:
-                for end, k in a.iter(s):
-                    yield d, end + 1 - len(passages[k]), k
+        got = np.array(list(a.iter(stream)), np.int64).reshape(-1, 2)
+        at.append(got[:, 0])
+        which.append(got[:, 1])
+        for k, more in same.items():
+            for other in more:
+                at.append(got[got[:, 1] == k, 0])
+                which.append(np.full(len(at[-1]), other))
+    which = np.concatenate(which)
+    start = (np.concatenate(at) + 1) // SYMBOLS - lens[which]
+    true = run_hash(hashes, start, start + lens[which]) == own[which]
+    start, which = start[true], which[true]
+    row = np.searchsorted(begin, start, side="right") - 1
+    return row, start - begin[row], which
 
 
 def _rims(window: int):
     """Hashes of the contested windows."""
 
     def run(key, docs: pd.DataFrame, rims: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        by = dict(tuple(rims.groupby("doc_id", sort=False)))
-        for doc, text in dict(zip(docs["doc_id"], docs["text"], strict=True)).items():
-            if (r := by.get(doc)) is not None:
-                h = window_hashes(word_units(as_bytes(text)), window)
-                for h1, a, nw in zip(r["h1"], r["a"], r["nw"], strict=True):
-                    out.append(pd.DataFrame({"h1": h1, "w": h[a : a + nw], "doc_id": doc, "s": np.arange(a, a + nw)}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("h1", "w", "doc_id", "s")})
+        docs = docs[docs["doc_id"].isin(rims["doc_id"])].drop_duplicates("doc_id")
+        shard = Shard(docs, "word")
+        r = shard.rows(rims)
+        h = [window_hashes(u, window) for u in shard.units]
+        begin = np.concatenate(([0], np.cumsum([len(x) for x in h]))).astype(np.int64)
+        nw, a, row = r["nw"].to_numpy(np.int64), r["a"].to_numpy(np.int64), r["row"].to_numpy(np.int64)
+        s = np.repeat(a, nw) + ramp(nw)
+        flat = np.concatenate(h) if h else np.zeros(0, np.int64)
+        return pd.DataFrame({"h1": np.repeat(r["h1"].to_numpy(np.int64), nw), "w": flat[np.repeat(begin[row], nw) + s], "doc_id": np.repeat(r["doc_id"].to_numpy(np.int64), nw), "s": s})
 
     return run
 
 
 def _remove(window: int):
     def run(key, docs: pd.DataFrame, finds: pd.DataFrame) -> pd.DataFrame:
-        words = [as_bytes(t).split() for t in docs["text"]]
-        owner = docs["doc_id"].to_numpy()
-        spans: list[list[tuple[int, int]]] = [[] for _ in words]
-        place = {d: k for k, d in enumerate(owner)}
-        texts = finds[finds["kind"] == 0]
-        if len(texts):
-            numbers: dict[bytes, int] = {}
-            ids = [np.fromiter((numbers.setdefault(x, len(numbers)) for x in w), np.int64, len(w)) for w in words]
-            passages: dict[tuple[int, ...], tuple[int, int]] = {}
-            for doc, a, nw, fd, fa in zip(texts["doc_id"], texts["a"], texts["nw"], texts["first_doc"], texts["first_a"], strict=True):
-                passages[tuple(ids[place[doc]][a : a + nw + window - 1].tolist())] = (fd, fa)
-            names, firsts = list(passages), list(passages.values())
-            for d, a, k in occurrences(ids, names):
-                if (owner[d], a) > firsts[k]:
-                    spans[d].append((a, a + len(names[k])))
-        rim = finds[finds["kind"] == 1]
-        for doc, x in rim.groupby("doc_id", sort=False):
-            for d in np.flatnonzero(owner == doc):
-                spans[d] += [(s, s + window) for s in x["a"]]
-        n, gone, kept = [], [], []
-        for w, s in zip(words, spans, strict=True):
-            cut = removed_units(len(w), s) if s else None
-            n.append(len(w))
-            gone.append(int(cut.sum()) if s else 0)
-            kept.append((b" ".join(compress(w, ~cut)) if s else b" ".join(w)).decode())
-        return pd.DataFrame({"doc_id": owner, "n_words": n, "n_removed": gone, "kept_text": kept})
+        shard = Shard(docs, "word")
+        finds = shard.rows(finds)
+        known, rim = finds[finds["kind"] == 0].drop_duplicates(["h1", "h2"]), finds[finds["kind"] == 1]
+        row, start, end = rim["row"].to_numpy(np.int64), rim["a"].to_numpy(np.int64), rim["a"].to_numpy(np.int64) + window
+        if len(known):
+            passages = [shard.units[r][a : a + n + window - 1] for r, a, n in zip(known["row"], known["a"], known["nw"], strict=True)]
+            r, a, k = occurrences(shard.units, passages)
+            doc, fd, fa = shard.owner[r], known["first_doc"].to_numpy(np.int64)[k], known["first_a"].to_numpy(np.int64)[k]
+            late = (doc > fd) | ((doc == fd) & (a > fa))
+            r, a, k = r[late], a[late], k[late]
+            row, start, end = np.concatenate((row, r)), np.concatenate((start, a)), np.concatenate((end, a + np.array([len(p) for p in passages])[k]))
+        cut = shard.covered(row, start, end)
+        gone = shard.sums(cut)
+        kept = []
+        for d, t in enumerate(shard.texts):
+            words = t.split()
+            kept.append(b" ".join(compress(words, (~cut[shard.base[d] : shard.base[d + 1]]).tolist()) if gone[d] else words).decode())
+        return pd.DataFrame({"doc_id": shard.owner, "n_words": shard.lens, "n_removed": gone, "kept_text": kept})
 
     return run
 
@@ -97,8 +119,9 @@ def substring_dedup(documents: DataFrame, window: int = 20, gram: int = 8, shard
     docs = found.docs
     rims = written(docs.groupBy("shard").cogroup(found.contested.groupBy("shard")).applyInPandas(_rims(window), "h1 long, w long, doc_id long, s long"), "rims")
     first = rims.groupBy("h1", "w").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "w", "f")
-    late = rims.join(first, ["h1", "w"]).where(F.struct("doc_id", "s") > F.col("f")).select(found.shard(F.col("doc_id")).alias("shard"), F.lit(1).alias("kind"), "doc_id", F.col("s").alias("a"), F.lit(0).alias("nw"), F.lit(0).cast("long").alias("first_doc"), F.lit(0).cast("long").alias("first_a"))
-    finds = found.passages.select("shard", F.lit(0).alias("kind"), "doc_id", "a", "nw", "first_doc", "first_a").unionByName(late)
+    none = F.lit(0).cast("long")
+    late = rims.join(first, ["h1", "w"]).where(F.struct("doc_id", "s") > F.col("f")).select(found.shard(F.col("doc_id")).alias("shard"), F.lit(1).alias("kind"), none.alias("h1"), none.alias("h2"), "doc_id", F.col("s").alias("a"), F.lit(0).alias("nw"), none.alias("first_doc"), none.alias("first_a"))
+    finds = found.passages.select("shard", F.lit(0).alias("kind"), "h1", "h2", "doc_id", "a", "nw", "first_doc", "first_a").unionByName(late)
     out = docs.groupBy("shard").cogroup(finds.groupBy("shard")).applyInPandas(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
     bare = documents.where("doc_id is null").select("text").mapInPandas(_bare, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.unionByName(bare)

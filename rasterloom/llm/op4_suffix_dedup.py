@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, written
 from .pfp import equal_runs, suffix_order
-from .segments import Found, Grain, as_bytes, byte_units, recurring, removed_units, segments, window_hashes
+from .segments import Found, Grain, Shard, as_bytes, byte_units, ramp, recurring, segments, window_hashes
 
 #: Segments of one name in a bucket, bytes in a bucket (on average).
 SPREAD, BUCKET = 2048, 1 << 20
@@ -33,6 +33,7 @@ def _texts(window: int):
     """The bytes of the contested segments."""
 
     def run(key, docs: pd.DataFrame, rims: pd.DataFrame) -> pd.DataFrame:
+        docs = docs[docs["doc_id"].isin(rims["doc_id"])].drop_duplicates("doc_id")
         text = {d: as_bytes(t) for d, t in zip(docs["doc_id"], docs["text"], strict=True)}
         rims = rims[rims["doc_id"].isin(text.keys())]
         return rims.assign(text=[text[d][a : a + nw + window - 1] for d, a, nw in zip(rims["doc_id"], rims["a"], rims["nw"], strict=True)])[["h1", "h2", "kinds", "doc_id", "a", "nw", "text"]]
@@ -47,8 +48,7 @@ def _settle(window: int):
         rims = rims.sort_values(["doc_id", "a"], kind="stable").reset_index(drop=True)
         texts, nw = list(rims["text"]), rims["nw"].to_numpy(np.int64)
         begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))[:-1]
-        step = np.arange(nw.sum()) - np.repeat(np.cumsum(nw) - nw, nw)
-        t, order = suffix_order(texts, np.repeat(begin, nw) + step)
+        t, order = suffix_order(texts, np.repeat(begin, nw) + ramp(nw))
         kind = equal_runs(t, order, window)
         k = np.searchsorted(begin, order, side="right") - 1
         place = np.lexsort((order, kind))  # texts are in corpus order
@@ -59,8 +59,8 @@ def _settle(window: int):
         spread = ~late & (rims["kinds"].to_numpy()[k] > SPREAD)
         doc, h1 = rims["doc_id"].to_numpy()[k], rims["h1"].to_numpy()[k]
         w = np.zeros(len(order), np.int64)
-        for i in np.flatnonzero(spread):
-            w[i] = window_hashes(byte_units(t[order[i] : order[i] + window].tobytes()), window)[0]
+        if spread.any():
+            w[spread] = window_hashes(byte_units(t.tobytes()), window)[order[spread]]
         some = late | spread
         return pd.DataFrame({"late": late[some], "h1": h1[some], "w": w[some], "doc_id": doc[some], "s": s[some]})
 
@@ -69,25 +69,23 @@ def _settle(window: int):
 
 def _remove(window: int, gram: int):
     def run(key, docs: pd.DataFrame, finds: pd.DataFrame) -> pd.DataFrame:
-        texts = [as_bytes(t) for t in docs["text"]]
-        owner = docs["doc_id"].to_numpy()
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        shard = Shard(docs, "byte")
+        rim = shard.rows(finds[finds["kind"] == 1])
+        row, start, end = rim["row"].to_numpy(np.int64), rim["a"].to_numpy(np.int64), rim["a"].to_numpy(np.int64) + window
         known = finds[finds["kind"] == 0]
         if len(known):
-            s = pd.DataFrame(segments([byte_units(t) for t in texts], window, gram))
-            s = s.merge(known[["h1", "h2", "first_doc", "first_a"]], on=["h1", "h2"])
-            s = s[(owner[s["doc"]] > s["first_doc"]) | ((owner[s["doc"]] == s["first_doc"]) & (s["a"] > s["first_a"]))]
-            for d, a, nw in zip(s["doc"], s["a"], s["nw"], strict=True):
-                spans[d].append((a, a + nw + window - 1))
-        for doc, x in finds[finds["kind"] == 1].groupby("doc_id", sort=False):
-            for d in np.flatnonzero(owner == doc):
-                spans[d] += [(s, s + window) for s in x["a"]]
-        out = []
-        for d, t, s in zip(owner, texts, spans, strict=True):
-            cut = removed_units(len(t), s)
-            kept = np.frombuffer(t, np.uint8)[~cut].tobytes() if s else t
-            out.append((d, len(t), int(cut.sum()), int((np.diff(cut.astype(np.int8), prepend=0) == 1).sum()), kept))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            s = pd.DataFrame(segments(shard.units, window, gram)).merge(known[["h1", "h2", "first_doc", "first_a"]], on=["h1", "h2"])
+            doc = shard.owner[s["doc"]]
+            s = s[(doc > s["first_doc"]) | ((doc == s["first_doc"]) & (s["a"] > s["first_a"]))]
+            row, start, end = np.concatenate((row, s["doc"])), np.concatenate((start, s["a"])), np.concatenate((end, s["a"] + s["nw"] + window - 1))
+        cut = shard.covered(row, start, end)
+        begins = cut.copy()
+        begins[1:] &= ~cut[:-1]
+        edge = shard.base[:-1][shard.lens > 0]
+        begins[edge] = cut[edge]
+        gone = shard.sums(cut)
+        kept = [np.frombuffer(t, np.uint8)[~cut[shard.base[d] : shard.base[d + 1]]].tobytes() if gone[d] else t for d, t in enumerate(shard.texts)]
+        return pd.DataFrame({"doc_id": shard.owner, "n_bytes": shard.lens, "n_removed": gone, "n_spans": shard.sums(begins), "kept": kept})
 
     return run
 

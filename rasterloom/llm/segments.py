@@ -24,7 +24,7 @@ _INV = pow(MULT, -1, 1 << 64)
 _tables = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 #: Longest run of windows in a segment, units in a chunk of a document, bytes hashed at once.
-RUN, CHUNK, SLICE = 512, 1 << 18, 1 << 20
+RUN, CHUNK, SLICE = 512, 1 << 15, 1 << 20
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -239,11 +239,34 @@ def recurring(documents: DataFrame, grain: Grain) -> Found:
     return Found(docs, passages, contested, shard, max(1, len(bounds) + 1))
 
 
-def removed_units(n: int, spans: list[tuple[int, int]] | np.ndarray) -> np.ndarray:
-    """Which of n units lie in a span."""
-    d = np.zeros(n + 1, np.int64)
-    if len(spans):
-        s = np.asarray(spans, np.int64).reshape(-1, 2)
-        np.add.at(d, np.minimum(s[:, 0], n), 1)
-        np.add.at(d, np.minimum(s[:, 1], n), -1)
-    return np.cumsum(d[:-1]) > 0
+class Shard:
+    """The documents of a shard, laid end to end."""
+
+    def __init__(self, docs: pd.DataFrame, unit: str):
+        self.owner = docs["doc_id"].to_numpy(np.int64)
+        self.texts = [as_bytes(t) for t in docs["text"]]
+        self.units = [UNITS[unit](t) for t in self.texts]
+        self.lens = np.array([len(u) for u in self.units], np.int64)
+        self.base = np.concatenate(([0], np.cumsum(self.lens))).astype(np.int64)
+
+    def rows(self, finds: pd.DataFrame) -> pd.DataFrame:
+        """finds with the row of its document in the shard (each row, where a document is repeated)."""
+        return finds.astype({"doc_id": "int64"}).merge(pd.DataFrame({"doc_id": self.owner, "row": np.arange(len(self.owner))}), on="doc_id")
+
+    def covered(self, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For every unit of the shard, whether a span covers it."""
+        d = np.zeros(self.base[-1] + 1, np.int64)
+        at, stop = self.base[row], self.base[row + 1]
+        np.add.at(d, np.minimum(at + start, stop), 1)
+        np.add.at(d, np.minimum(at + end, stop), -1)
+        return np.cumsum(d[:-1]) > 0
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """The sum over each document's units."""
+        c = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+        return c[self.base[1:]] - c[self.base[:-1]]
+
+
+def ramp(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, joined."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
