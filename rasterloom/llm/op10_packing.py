@@ -3,7 +3,8 @@
 Documents become token pieces of at most the capacity; the packing itself needs only how many pieces there are of each
 length, a table of at most `capacity` rows whatever the corpus. For a bin that holds the longest length left, bitset
 subset-sum dynamic programming over the lengths left finds the fullest feasible combination; it is applied as often as
-the counts allow. Pieces get their places by their rank within their length, from counts by bucket, without a sort of
+the counts allow. Where that needs more bins than the sum of all lengths does, relaxed rules (a little slack is as good
+as none, so that larger pieces go first) are tried too, and the rule with the fewest bins wins. Pieces get their places by their rank within their length, from counts by bucket, without a sort of
 the corpus.
 
 Defined results: a null or empty text has the end id alone; ties (pieces of one length) are ordered by bucket, doc_id
@@ -25,6 +26,8 @@ from .common import read_table, written
 CAPACITY, END_ID = 1024, 2
 #: Rows of a rank bucket, and distinct words whose ids a worker remembers.
 RANKED, REMEMBERED = 50_000, 400_000
+#: Slack that the relaxed rules take for none.
+SLACKS = (1, 2, 4, 8, 16, 32)
 #: The tokenizer's own split into words, and characters on which its and this module's Unicode tables surely agree.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 OTHER = regex.compile(r"[^\t\n\r -~¡-ɏ]|<\|endoftext\|>")
@@ -93,8 +96,8 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
     return docs.mapInArrow(_tokenize(path or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def fullest(counts: list[int], first: int, capacity: int) -> dict[int, int]:
-    """Of the lengths left, a combination that holds `first` and leaves the least slack."""
+def fullest(counts: list[int], first: int, capacity: int, slack: int = 0) -> dict[int, int]:
+    """Of the lengths left, a combination that holds `first` and leaves the least slack, or with large pieces at most `slack`."""
     room = capacity - first
     left = counts.copy()
     left[first] -= 1
@@ -106,9 +109,9 @@ def fullest(counts: list[int], first: int, capacity: int) -> dict[int, int]:
                 break
             trail.append((length, reach))
             reach = more
-            if reach >> room & 1:
+            if reach >> max(0, room - slack) > 0:
                 break
-        if reach >> room & 1:
+        if reach >> max(0, room - slack) > 0:
             break
     best = reach.bit_length() - 1
     found = {first: 1}
@@ -119,12 +122,28 @@ def fullest(counts: list[int], first: int, capacity: int) -> dict[int, int]:
     return found
 
 
-def plan(counts: list[int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+Places = list[tuple[int, int, int, int, int, int]]
+
+
+def plan(counts: list[int], capacity: int) -> Places:
     """length, first rank, rank after the last, number of each bin, first sequence, offset: where the pieces of a length go."""
+    least = -(-sum(k * n for k, n in enumerate(counts)) // capacity)
+    best, bins = bins_of(counts, capacity, 0)
+    for slack in SLACKS:
+        if bins <= least:
+            break
+        other, n = bins_of(counts, capacity, slack)
+        if n < bins:
+            best, bins = other, n
+    return best
+
+
+def bins_of(counts: list[int], capacity: int, slack: int) -> tuple[Places, int]:
+    """The plan by one rule, and its number of bins."""
     counts, used, seq, out = counts.copy(), [0] * len(counts), 0, []
     for first in range(capacity, 0, -1):
         while counts[first]:
-            need = fullest(counts, first, capacity)
+            need = fullest(counts, first, capacity, slack)
             times = min(counts[x] // k for x, k in need.items())
             at = 0
             for length, k in need.items():
@@ -133,7 +152,7 @@ def plan(counts: list[int], capacity: int) -> list[tuple[int, int, int, int, int
                 counts[length] -= times * k
                 at += length * k
             seq += times
-    return out
+    return out, seq
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

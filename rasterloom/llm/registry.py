@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .op1_substring_dedup import op1_substring_dedup
+from .op2_simhash import op2_simhash
 from .op4_suffix_dedup import op4_suffix_dedup
+from .op8_language import op8_language
+from .op9_mixing import op9_mixing
+from .op10_packing import op10_packing
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op4_suffix_dedup, op8_language, op9_mixing, op10_packing)}
 ORACLES: dict[str, str] = {}
