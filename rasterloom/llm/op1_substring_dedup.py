@@ -13,7 +13,7 @@ document and each returned; rows without doc_id are returned unchanged; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -25,7 +25,7 @@ from .common import read_table, written
 from .segments import Found, Grain, Shard, U, as_bytes, prefix, ramp, recurring, run_hash, window_hashes
 
 #: Passages in one automaton: bounds its memory to some tens of MB.
-AUTOMATON = 20_000
+AUTOMATON = 10_000
 #: A word is written as so many symbols of 6 bits of its hash, the first from an alphabet of its own; matches are then verified by whole hashes.
 SYMBOLS = 4
 
@@ -57,7 +57,7 @@ def occurrences(units: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np
             if not a.add_word(word := spelled(passages[k]), k):  # spelled as another: both are verified
                 same.setdefault(a.get(word), []).append(k)
         a.make_automaton()
-        got = np.array(list(a.iter(stream)), np.int64).reshape(-1, 2)
+        got = np.fromiter(chain.from_iterable(a.iter(stream)), np.int64).reshape(-1, 2)
         at.append(got[:, 0])
         which.append(got[:, 1])
         for k, more in same.items():
@@ -113,7 +113,7 @@ def _remove(window: int):
     return run
 
 
-def substring_dedup(documents: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(documents: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each text without the words of windows that also start earlier in the corpus."""
     found: Found = recurring(documents, Grain("word", window, gram, shard_bytes))
     docs = found.docs

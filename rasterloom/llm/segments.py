@@ -255,16 +255,17 @@ class Shard:
 
     def covered(self, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For every unit of the shard, whether a span covers it."""
-        d = np.zeros(self.base[-1] + 1, np.int64)
+        d = np.zeros(self.base[-1] + 1, np.int32)
         at, stop = self.base[row], self.base[row + 1]
         np.add.at(d, np.minimum(at + start, stop), 1)
         np.add.at(d, np.minimum(at + end, stop), -1)
-        return np.cumsum(d[:-1]) > 0
+        return np.cumsum(d[:-1], dtype=np.int32) > 0
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """The sum over each document's units."""
-        c = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
-        return c[self.base[1:]] - c[self.base[:-1]]
+        c = np.zeros(len(x) + 1, np.int32)
+        np.cumsum(x, out=c[1:])
+        return (c[self.base[1:]] - c[self.base[:-1]]).astype(np.int64)
 
 
 def ramp(n: np.ndarray) -> np.ndarray:
