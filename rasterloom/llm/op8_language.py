@@ -134,11 +134,11 @@ def _score(model: Model | None):
     return run
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
-    docs = documents.select(F.col("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+def identify(documents: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; with keep also these columns of the document, as the struct doc."""
+    docs = documents.select(F.col("doc_id"), held_out().alias("held_out"), *([F.struct(*keep).alias("doc")] if keep else []), F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(_score(model), f"{kinds}, lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

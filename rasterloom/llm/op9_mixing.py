@@ -71,10 +71,10 @@ def thresholds(sizes: DataFrame, budgets: dict) -> dict:
     return done
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words of each document the mix takes, whole times its size."""
-    sizes = documents.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(9)), 1).alias("h"))
-    sizes = written(sizes, "sizes")
+def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken: how many words of each document the mix takes, whole times its size; with keep also these columns of the document, as the struct doc."""
+    own = [F.col("source").cast("string").alias("source"), n_words().alias("size"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(9)), 1).alias("h")]
+    sizes = written(documents.select("doc_id", *own), "sizes")
     per = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     want = targets(per, weights, cap)
     times = {s: int(want[s] // n) if n else 0 for s, n in per.items()}
@@ -83,7 +83,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     plan = [(s, n, want[s], times[s], -1 if cut[s] >= 1 << TOP else cut[s]) for s, n in per.items()]
     plan = documents.sparkSession.createDataFrame(plan, "src string, source_size long, target double, times int, cut long")
     extra = F.when((F.col("cut") < 0) | (F.col("h") < F.col("cut")), 1).otherwise(0)
-    return sizes.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + extra)).alias("taken"))
+    rows = documents.select("doc_id", F.struct(*keep).alias("doc"), *own) if keep else sizes
+    return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + extra)).alias("taken"), *(["doc"] if keep else []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
