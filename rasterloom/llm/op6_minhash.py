@@ -27,8 +27,8 @@ from .components import components
 
 #: Bands and their registers: of pairs at 0.8, 1 of 38,000 shares no band.
 BANDS, ROWS = 20, 4
-#: Near from (least part of the union that is shared), pivots of a bucket in the first round; each later one has twice as many.
-SHARED, OF, PIVOTS = 4, 5, 2
+#: Near from (least part of the union that is shared), pivots of a bucket in the first round; each later one has GROWTH times as many.
+SHARED, OF, PIVOTS, GROWTH = 4, 5, 4, 4
 
 
 def _signed(bands: int, rows: int):
@@ -76,10 +76,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.mapInArrow(_verify, "u binary, v binary")
 
 
-def _rounds(members: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _rounds(members: DataFrame, texts: DataFrame) -> DataFrame:
     """node, comp: components of the nodes of buckets (key, node)."""
     active = members.select("key", "node", F.col("node").alias("comp"))
-    links, comp, pivots = None, None, PIVOTS
+    comp, pivots = None, PIVOTS
     while True:
         one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "comp"))
         first = F.min(F.struct(F.lit(0).cast("long").alias("h"), "node", "comp"))
@@ -88,9 +88,9 @@ def _rounds(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         here = active.join(chosen, "key")
         # A pair that stands in many buckets is told apart by its nodes alone.
         pairs = here.select("node", "comp", F.explode("p").alias("q")).where("q.comp <> comp").select(F.col("q.node").alias("u"), F.col("node").alias("v")).distinct()
-        found = _links(written(pairs, "pairs"), texts)
-        links = written(found if comp is None else found.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))), "links")
-        comp = components(links)
+        found = written(_links(written(pairs, "pairs"), texts), "links")
+        if comp is None or not found.isEmpty():
+            comp = components(found if comp is None else found.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
         rest = here.where(~F.array_contains(F.transform("p", lambda p: p["node"]), F.col("node"))).select("key", "node")
         rest = rest.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         rest = written(rest, "rest")
@@ -98,7 +98,7 @@ def _rounds(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         active = written(rest.join(mixed, "key"), "active")
         if active.isEmpty():
             return comp
-        pivots *= 2
+        pivots *= GROWTH
 
 
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
