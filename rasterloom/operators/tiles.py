@@ -80,9 +80,9 @@ def reduce(tiles: DataFrame, at: list[str], width: int, height: int, flips: bool
     first = keyed.groupBy("key").agg(F.min(F.struct(*at, "tile")).alias("f"))
     new = first.join(seeded.select("key").distinct(), "key", "left_anti")
     # Map entries have 16 bits at most, so a tileset is small whatever the number of tiles; the window sees new tiles alone.
-    n = seed.agg((F.coalesce(F.max("tile_id"), F.lit(-1)) + 1).alias("n"))
+    n = seed.agg((F.coalesce(F.max("tile_id"), F.lit(-1)) + 1).alias("n")).first()["n"]
     order = Window.orderBy(*[F.col(f"f.{c}") for c in at])
-    fresh = new.crossJoin(F.broadcast(n)).select((F.row_number().over(order) - 1 + F.col("n")).cast("long").alias("tile_id"), F.col("f.tile").alias("tile"), "key")
+    fresh = new.select((F.row_number().over(order) - 1 + n).cast("long").alias("tile_id"), F.col("f.tile").alias("tile"), "key")
     tileset = seeded.unionByName(fresh)
     entries = tileset.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("tile_id", "tile"))).alias("entries"))  # as many as a seed repeats or mirrors a tile
     found = keyed.join(entries, "key")
