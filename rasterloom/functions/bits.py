@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f reads it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def field(v: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(v, shift).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -64,13 +69,13 @@ def byte_values(data: Column) -> Column:
 
 def byte_reverse(h: Column, chunk: int) -> Column:
     """Hex text with the bytes of each whole chunk in reverse order."""
-    groups = "".join(f"(..)" for _ in range(chunk))
+    groups = "".join("(..)" for _ in range(chunk))
     return F.regexp_replace(h, groups, "".join(f"${k}" for k in range(chunk, 0, -1)))
 
 
 def pack(values: Column, bits: int) -> Column:
     """Fields of an array into one integer, first lowest."""
-    return F.aggregate(F.transform(values, lambda v, k: F.shiftleft(v.cast("long").bitwiseAND(F.lit((1 << bits) - 1)), (k * bits).cast("int"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.aggregate(F.transform(values, lambda v, k: F.call_function("shiftleft", v.cast("long").bitwiseAND(F.lit((1 << bits) - 1)), (k * bits).cast("int"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def unpack(v: Column, bits: int, n: int) -> Column:

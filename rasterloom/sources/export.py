@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import byte_reverse
+from ..functions.bits import bound, byte_reverse
 
 #: Fixed by the formats: suffixes of items, bytes and row lengths of element types.
 SUFFIX = {"gfx": "Tiles", "map": "Map", "meta": "Meta", "pal": "Pal"}
@@ -35,15 +35,15 @@ def _rows(values: Column, per: int, lead: str, end: str) -> Column:
 
 
 def c_array(symbol: Column, data: Column, dtype: str = "u8") -> Column:
-    size, per, kind, _ = ELEMENT[dtype]
+    _, per, kind, _ = ELEMENT[dtype]
     values = F.transform(elements(data, dtype), lambda v: F.concat(F.lit("0x"), v))
-    return F.concat(F.lit(f"const {kind} "), symbol, F.lit("["), F.size(values).cast("string"), F.lit("] __attribute__((aligned(4)))=\n{\n"), _rows(values, per, "\t", ","), F.lit("\n};\n"))
+    return bound(values, lambda v: F.concat(F.lit(f"const {kind} "), symbol, F.lit("["), F.size(v).cast("string"), F.lit("] __attribute__((aligned(4)))=\n{\n"), _rows(v, per, "\t", ","), F.lit("\n};\n")))
 
 
 def asm_array(symbol: Column, data: Column, dtype: str = "u8") -> Column:
-    size, per, _, word = ELEMENT[dtype]
+    _, per, _, word = ELEMENT[dtype]
     values = F.transform(elements(data, dtype), lambda v: F.concat(F.lit("0x"), v))
-    return F.concat(F.lit("\t.section .rodata\n\t.align\t2\n\t.global "), symbol, F.lit("\n"), symbol, F.lit(":\n"), _rows(values, per, f"\t{word} ", ""), F.lit("\n"))
+    return bound(values, lambda v: F.concat(F.lit("\t.section .rodata\n\t.align\t2\n\t.global "), symbol, F.lit("\n"), symbol, F.lit(":\n"), _rows(v, per, f"\t{word} ", ""), F.lit("\n")))
 
 
 def c_header(symbol: Column, data: Column, dtype: str = "u8") -> Column:
