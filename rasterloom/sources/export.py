@@ -106,7 +106,7 @@ def array_from_source(text: str, symbol: str) -> bytes:
     at = re.search(rf"\b{re.escape(symbol)}(?:\[\d*\][^{{]*\{{|:)", text)
     if not at:
         raise KeyError(symbol)
-    out, size = bytearray(), {"char": 1, "short": 2, "int": 4}.get((re.search(r"unsigned (char|short|int) [^;{]*$", text[: at.end()]) or [0, ""])[1], 0)
+    out, size = bytearray(), {"char": 1, "short": 2, "int": 4}.get((re.search(r"unsigned (char|short|int) $", text[: at.start()]) or [0, ""])[1], 0)
     for line in text[at.end() :].split("\n"):
         if re.search(r"\}|\.global|\.section", line):
             break
