@@ -42,7 +42,7 @@ def _texts(window: int):
 
 
 def _settle(window: int):
-    """Of a bucket: windows with an earlier equal in it (late), and the earliest of each class of a spread name."""
+    """Of a bucket: runs of windows with an earlier equal in it (late), and the earliest of each class of a spread name."""
 
     def run(rims: pd.DataFrame) -> pd.DataFrame:
         rims = rims.sort_values(["doc_id", "a"], kind="stable").reset_index(drop=True)
@@ -50,19 +50,24 @@ def _settle(window: int):
         begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))[:-1]
         t, order = suffix_order(texts, np.repeat(begin, nw) + ramp(nw))
         kind = equal_runs(t, order, window)
-        k = np.searchsorted(begin, order, side="right") - 1
         place = np.lexsort((order, kind))  # texts are in corpus order
-        order, kind, k = order[place], kind[place], k[place]
-        s = rims["a"].to_numpy()[k] + order - begin[k]
+        order, kind = order[place], kind[place]
         late = np.zeros(len(order), bool)
         late[1:] = kind[1:] == kind[:-1]
-        spread = ~late & (rims["kinds"].to_numpy()[k] > SPREAD)
-        doc, h1 = rims["doc_id"].to_numpy()[k], rims["h1"].to_numpy()[k]
-        w = np.zeros(len(order), np.int64)
-        if spread.any():
-            w[spread] = window_hashes(byte_units(t.tobytes()), window)[order[spread]]
-        some = late | spread
-        return pd.DataFrame({"late": late[some], "h1": h1[some], "w": w[some], "doc_id": doc[some], "s": s[some]})
+        k = np.searchsorted(begin, order, side="right") - 1
+        spread = np.flatnonzero(~late & (rims["kinds"].to_numpy()[k] > SPREAD))
+        w = window_hashes(byte_units(t.tobytes()), window)[order[spread]] if len(spread) else np.zeros(0, np.int64)
+        at = np.sort(order[late])  # runs end with their text, as the last window - 1 places of a text start no window
+        edge = np.ones(len(at) + 1, bool)
+        edge[1:-1] = at[1:] != at[:-1] + 1
+        edge = np.flatnonzero(edge)
+        order = np.concatenate((at[edge[:-1]], order[spread]))
+        k = np.searchsorted(begin, order, side="right") - 1
+        n, m = len(edge) - 1, len(spread)
+        return pd.DataFrame({
+            "late": np.arange(n + m) < n, "h1": rims["h1"].to_numpy()[k], "w": np.concatenate((np.zeros(n, np.int64), w)), "doc_id": rims["doc_id"].to_numpy()[k],
+            "s": rims["a"].to_numpy()[k] + order - begin[k], "nw": np.concatenate((np.diff(edge), np.ones(m, np.int64))),
+        })
 
     return run
 
@@ -71,7 +76,7 @@ def _remove(window: int, gram: int):
     def run(key, docs: pd.DataFrame, finds: pd.DataFrame) -> pd.DataFrame:
         shard = Shard(docs, "byte")
         rim = shard.rows(finds[finds["kind"] == 1])
-        row, start, end = rim["row"].to_numpy(np.int64), rim["a"].to_numpy(np.int64), rim["a"].to_numpy(np.int64) + window
+        row, start, end = rim["row"].to_numpy(np.int64), rim["a"].to_numpy(np.int64), rim["a"].to_numpy(np.int64) + rim["nw"].to_numpy(np.int64) + window - 1
         known = finds[finds["kind"] == 0]
         if len(known):
             s = pd.DataFrame(segments(shard.units, window, gram)).merge(known[["h1", "h2", "first_doc", "first_a"]], on=["h1", "h2"])
@@ -90,7 +95,7 @@ def _remove(window: int, gram: int):
     return run
 
 
-def suffix_dedup(documents: DataFrame, window: int = 100, gram: int = 16, shard_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(documents: DataFrame, window: int = 100, gram: int = 16, shard_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: each text without the bytes of windows that also start earlier in the corpus."""
     found: Found = recurring(documents, Grain("byte", window, gram, shard_bytes))
     docs = found.docs
@@ -99,13 +104,13 @@ def suffix_dedup(documents: DataFrame, window: int = 100, gram: int = 16, shard_
     # A name with few segments stays whole in a bucket; one with many is dealt by content.
     part = F.when(F.col("kinds") > SPREAD, F.pmod(F.col("h2"), F.ceil(F.col("kinds") / (SPREAD // 2)))).otherwise(0)
     bucket = F.pmod(F.xxhash64("h1", part), F.lit(size // BUCKET + 1))
-    settled = written(rims.groupBy(bucket.alias("bucket")).applyInPandas(_settle(window), "late boolean, h1 long, w long, doc_id long, s long"), "settled")
+    settled = written(rims.groupBy(bucket.alias("bucket")).applyInPandas(_settle(window), "late boolean, h1 long, w long, doc_id long, s long, nw long"), "settled")
     spread = settled.where("not late")
     first = spread.groupBy("h1", "w").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "w", "f")
-    late = settled.where("late").select("doc_id", "s").unionByName(spread.join(first, ["h1", "w"]).where(F.struct("doc_id", "s") > F.col("f")).select("doc_id", "s"))
+    late = settled.where("late").select("doc_id", "s", "nw").unionByName(spread.join(first, ["h1", "w"]).where(F.struct("doc_id", "s") > F.col("f")).select("doc_id", "s", "nw"))
     none = F.lit(0).cast("long")
-    late = late.select(found.shard(F.col("doc_id")).alias("shard"), F.lit(1).alias("kind"), none.alias("h1"), none.alias("h2"), "doc_id", F.col("s").alias("a"), none.alias("first_doc"), none.alias("first_a"))
-    finds = found.passages.select("shard", F.lit(0).alias("kind"), "h1", "h2", "doc_id", "a", "first_doc", "first_a").unionByName(late)
+    late = late.select(found.shard(F.col("doc_id")).alias("shard"), F.lit(1).alias("kind"), none.alias("h1"), none.alias("h2"), "doc_id", F.col("s").alias("a"), "nw", none.alias("first_doc"), none.alias("first_a"))
+    finds = found.passages.select("shard", F.lit(0).alias("kind"), "h1", "h2", "doc_id", "a", F.col("nw").cast("long").alias("nw"), "first_doc", "first_a").unionByName(late)
     out = docs.groupBy("shard").cogroup(finds.groupBy("shard")).applyInPandas(_remove(window, gram), RESULT)
     return out.unionByName(documents.where("doc_id is null").select("text").mapInPandas(_bare, RESULT))
 

@@ -12,21 +12,46 @@ import numpy as np
 #: Ends every text; it cannot occur in UTF-8.
 END = 0xFF
 TRIGGER, ONE_IN = 8, 24
+#: Bytes by which suffixes of phrases are ordered at first.
+FIRST = 7
 
 
-def ranks(s: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Rank of each string s[i : i + left[i]] by prefix doubling; equal strings have equal ranks. s is cut into pieces that a string doesn't leave."""
-    r = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    have, longest = 1, int(left.max(initial=0))
-    while have < longest:
-        nxt = np.zeros_like(r)
-        nxt[:-have] = np.where(left[:-have] > have, r[have:], 0)
-        new = np.unique(r * (len(r) + 2) + nxt, return_inverse=True)[1].astype(np.int64) + 1
-        done = np.array_equal(new, r) or new.max() == len(r)
-        r, have = new, 2 * have
-        if done:
-            break
-    return r
+def packed(s: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first FIRST bytes of each string s[i : i + left[i]] as one number that orders them; the low byte tells how many there are."""
+    key = np.zeros(len(s), np.uint64)
+    wide = np.concatenate([s, np.zeros(FIRST, np.uint8)])
+    for k in range(FIRST):
+        key = key << np.uint64(8) | np.where(left > k, wide[k : k + len(s)], 0).astype(np.uint64)
+    return key << np.uint64(8) | np.minimum(left, FIRST).astype(np.uint64)
+
+
+def ranks(key: np.ndarray, left: np.ndarray, have: int = 1) -> np.ndarray:
+    """Rank of each string of length left[i] that starts at place i, by prefix doubling; equal strings have equal ranks.
+
+    key orders the strings by their first `have` symbols. Only strings that are not yet told apart are sorted again.
+    """
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    place = np.arange(n)
+    new = np.ones(n, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    r = np.empty(n, np.int64)
+    r[order] = np.maximum.accumulate(np.where(new, place, 0))
+    open_ = order[~new | np.append(~new[1:], False)]
+    while True:
+        open_ = open_[left[open_] >= have]
+        if not len(open_):
+            return r
+        k = r[open_] * (n + 1) + np.where(left[open_] > have, r[np.minimum(open_ + have, n - 1)] + 1, 0)
+        o = np.argsort(k, kind="stable")
+        open_, k = open_[o], k[o]
+        old, place = r[open_], np.arange(len(open_))
+        new, sub = np.ones(len(open_), bool), np.ones(len(open_), bool)
+        new[1:] = old[1:] != old[:-1]
+        sub[1:] = k[1:] != k[:-1]
+        r[open_] = old + np.maximum.accumulate(np.where(sub, place, 0)) - np.maximum.accumulate(np.where(new, place, 0))
+        open_ = open_[~sub | np.append(~sub[1:], False)]
+        have *= 2
 
 
 def triggers(t: np.ndarray) -> np.ndarray:
@@ -54,7 +79,8 @@ def suffix_order(texts: list[bytes], at: np.ndarray | None = None) -> tuple[np.n
     # No suffix of a phrase that is longer than a trigger is a proper prefix of another, so what follows matters only if two are equal.
     lens = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    own = ranks(np.frombuffer(b"".join(words), np.uint8), np.repeat(begin + lens, lens) - np.arange(lens.sum()))
+    rest = np.repeat(begin + lens, lens) - np.arange(lens.sum())
+    own = ranks(packed(np.frombuffer(b"".join(words), np.uint8), rest), rest, FIRST)
     if at is None:
         at = np.arange(last)
     k = np.searchsorted(cuts, at, side="right") - 1
