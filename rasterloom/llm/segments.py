@@ -147,15 +147,16 @@ def segments(units: list[np.ndarray], w: int, k: int) -> dict[str, np.ndarray]:
         stops = np.append(starts[1:], len(m))
         seen = np.concatenate(([0], np.cumsum(valid)))
         nw = (seen[stops] - seen[starts]).astype(np.int64)
-        # Grams that are the smallest of some window; equal ones within a window tell that a window may repeat inside its segment.
+        # Grams that are the smallest of some window. Of equal ones no further apart than g_n, the window after the first may be a repeat
+        # inside its segment: at g_n no window holds both, but all windows between have the one name.
         pad = np.zeros(g_n - 1, U)
         least = np.flatnonzero(slide(np.concatenate([pad, np.where(valid, m, U(0)), pad]), g_n, np.maximum) == g)
-        twin = (g[least[1:]] == g[least[:-1]]) & (least[1:] - least[:-1] < g_n)
+        twin = (g[least[1:]] == g[least[:-1]]) & (least[1:] - least[:-1] <= g_n)
         own = np.ones(len(starts), np.int64)
         if twin.any():
             mark = np.zeros(len(m) + 1, np.int64)
             np.add.at(mark, np.clip(least[1:][twin] - g_n + 1, 0, len(m)), 1)
-            np.add.at(mark, np.clip(least[:-1][twin] + 1, 0, len(m)), -1)
+            np.add.at(mark, np.clip(least[:-1][twin] + 2, 0, len(m)), -1)
             own += np.maximum.reduceat(np.cumsum(mark[:-1]) > 0, starts).astype(np.int64)
         part = np.searchsorted(ends, starts, side="right")
         begin = np.concatenate(([0], ends[:-1]))[part]

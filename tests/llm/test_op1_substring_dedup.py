@@ -52,3 +52,26 @@ def test_empty_table_and_null_and_repeated_rows(spark):
     t = " ".join(f"x{i}" for i in range(40))
     got = sorted(map(tuple, substring_dedup(spark.createDataFrame([(1, t), (1, t), (2, t), (None, "a b")], "doc_id long, text string")).collect()), key=str)
     assert got == [(1, 40, 0, t), (1, 40, 0, t), (2, 40, 40, ""), (None, 2, 0, "a b")]
+
+
+def periodic(unit, joint, g_n, lengths):
+    """Documents that say one line over and over: periods of g_n units, its neighbours, parts and multiples."""
+    r = random.Random(9)
+    rows = []
+    for p in (g_n // 2, g_n - 1, g_n, g_n + 1, 2 * g_n, 3 * g_n):
+        for n in lengths:
+            line = [unit(r) for _ in range(p)]
+            rows.append((len(rows), joint.join((line * (n // p + 1))[:n])))
+    whole = rows[2 * len(lengths) + 1][1]
+    rows += [(len(rows) + k, t) for k, t in enumerate((whole, joint.join(unit(r) for _ in range(40)) + joint + whole))]
+    return rows
+
+
+def test_lines_repeated_at_the_length_of_a_name(spark):
+    line = " ".join(f"x{i}" for i in range(13))
+    df = spark.createDataFrame([(1, " ".join([line] * 4))], "doc_id long, text string")
+    assert list(map(tuple, substring_dedup(df).collect())) == [(1, 52, 39, line)]
+    rows = periodic(lambda r: f"w{r.randrange(10**6)}", " ", 13, (33, 52, 60, 500, 1200))
+    for shard_bytes in (8 << 20, 2000):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, shard_bytes=shard_bytes).collect()} == brute(rows, 20)

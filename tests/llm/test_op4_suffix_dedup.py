@@ -4,7 +4,7 @@ import numpy as np
 
 from rasterloom.llm import op4_suffix_dedup as op4
 from rasterloom.llm.pfp import equal_runs, suffix_order
-from tests.llm.test_op1_substring_dedup import corpus
+from tests.llm.test_op1_substring_dedup import corpus, periodic
 
 
 def brute(rows, w):
@@ -49,3 +49,10 @@ def test_empty_table_and_null_and_repeated_rows(spark):
     n = len(t)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.n_spans) for r in op4.suffix_dedup(spark.createDataFrame([(1, t), (1, t), (2, t), (None, "a b"), (3, None)], "doc_id long, text string")).collect())
     assert got == [(False, 1, 0, 0), (False, 1, 0, 0), (False, 2, n, 1), (False, 3, 0, 0), (True, 0, 0, 0)]
+
+
+def test_lines_repeated_at_the_length_of_a_name(spark):
+    rows = periodic(lambda r: r.choice("abcdefghijklmnopqrstuvwxyz "), "", 85, (190, 340, 700, 2000))
+    for shard_bytes in (8 << 20, 4000):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in op4.suffix_dedup(df, shard_bytes=shard_bytes).collect()} == brute(rows, 100)
