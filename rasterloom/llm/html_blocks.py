@@ -7,13 +7,14 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-#: Elements of which nothing is text, those that begin and end blocks, and those without an end tag.
-SILENT = "script|style|noscript|template|textarea|select|option|button|svg|iframe|object|title|math"
+#: Elements of which nothing is text (nor of option, whose end tag may be left out), those that begin and end blocks, and those without an end tag.
+SILENT = "script|style|noscript|template|textarea|select|button|svg|iframe|object|title"
 BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, and what stops it.
-CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"})}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*+(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?][^>]*+>", re.S | re.I)
+CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"datalist", "optgroup"}), "optgroup": ("option", {"datalist"})}
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){_ATTRIBUTES}(?<=/)>|<({SILENT})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?][^>]*+>", re.S | re.I)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 
@@ -32,6 +33,7 @@ def blocks(html: str | None) -> list[Block]:
     pieces: list[str] = []
     where: tuple[frozenset[str], str] | None = None
     linked = 0
+    options = False
 
     def flush() -> None:
         nonlocal where, linked
@@ -44,7 +46,7 @@ def blocks(html: str | None) -> list[Block]:
 
     def data(raw: str) -> None:
         nonlocal where, linked
-        if raw:
+        if raw and not (options and any(t == "option" for t, _ in stack)):
             text = unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if where is None and not text.isspace():
@@ -87,6 +89,7 @@ def blocks(html: str | None) -> list[Block]:
                 close("p", {"table", "button"})
             if tag in CLOSES:
                 close(*CLOSES[tag])
+            options |= tag == "option"
             own = {tag}
             for found in NAMES.findall(rest) if rest else ():
                 own.update(f".{w}" for w in WORDS.findall("".join(found).lower()))

@@ -69,3 +69,11 @@ def test_query(spark, tmp_path):
     got = {x.page_id: x.text for x in out}
     assert got[2] == got[3] == "" and got[4].count("\n\n") == 2999 and got[1].startswith("Café & more\n\nFirst part of it.")
     assert op7.main_text(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+
+
+def test_silent_elements_end_where_they_should():
+    after = "<p>The text</p><p>goes on</p>"
+    for before in ('<svg class="icon"/>', '<svg title="a > b" />', "<svg><path d='x'/>no</svg>", "<title-bar>", "<template-x>", "<button-group></button-group>", "<datalist><option value=a><option value=b>no</datalist>", "<datalist><optgroup><option>no<optgroup><option>no<i>no</datalist>", "<div><option>no</div>", "<option>no</option>", "<select><option>no<option>no</select>"):
+        assert [b.text for b in blocks(before + after)] == ["The text", "goes on"], before
+    assert [b.text for b in blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>")] == ["so x=2 holds"]
+    assert [b.text for b in blocks("<p>a</p><svg/><p>b</p><svg>no</svg><p>c <svg/>d</p>")] == ["a", "b", "c d"]
