@@ -74,8 +74,15 @@ def byte_reverse(h: Column, chunk: int) -> Column:
 
 
 def pack(values: Column, bits: int) -> Column:
-    """Fields of an array into one integer, first lowest."""
-    return F.aggregate(F.transform(values, lambda v, k: F.call_function("shiftleft", v.cast("long").bitwiseAND(F.lit((1 << bits) - 1)), (k * bits).cast("int"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    """Fields of an array into one integer, first lowest. An error, if they need over 64 bits."""
+    word = F.aggregate(F.transform(values, lambda v, k: F.call_function("shiftleft", v.cast("long").bitwiseAND(F.lit((1 << bits) - 1)), (k * bits).cast("int"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(values) > 64 // bits, F.raise_error(F.lit(f"more than {64 // bits} fields of {bits} bits in a word")).cast("long")).otherwise(word)
+
+
+def pack_words(values: Column, bits: int, n: int) -> Column:
+    """All fields of an array into an array of integers, n fields each (the last may have fewer)."""
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / n).cast("int")), lambda w: pack(F.slice(values, w * n + 1, F.lit(n)), bits))
+    return F.when(F.size(values) > 0, words).when(F.size(values) == 0, F.array().cast("array<bigint>"))
 
 
 def unpack(v: Column, bits: int, n: int) -> Column:

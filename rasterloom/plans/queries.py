@@ -270,6 +270,12 @@ def bit_pack4(spark, d):
     return rasters(spark, d, "byte").select("vec_id", bits.pack(F.slice("px", 1, 8), 4).alias("word"))
 
 
+@query("WITH " + _PX + " SELECT vec_id, CAST(y AS INTEGER) AS place, CAST(sum(CAST(b % 16 AS BIGINT) * CAST(power(16, x) AS BIGINT)) AS BIGINT) AS word FROM px GROUP BY vec_id, y")
+def bit_pack4_whole(spark, d):
+    """All 64 pixels of each raster; bit_pack4 has the first word only."""
+    return rasters(spark, d, "byte").select("vec_id", F.posexplode(bits.pack_words(F.col("px"), 4, 8)).alias("place", "word"))
+
+
 @query("SELECT l_orderkey, l_linenumber, concat_ws(',', w % 16, w // 16 % 16, w // 256 % 16, w // 4096 % 16) AS fields FROM (SELECT l_orderkey, l_linenumber, l_partkey * 7919 % 65536 AS w FROM lineitem)")
 def bit_unpack4(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", bits.unpack(F.col("l_partkey") * 7919 % 65536, 4, 4).cast("array<string>")).alias("fields"))
