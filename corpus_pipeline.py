@@ -6,8 +6,10 @@ all stages. What the stages do with nulls, ties, repeated rows and empty tables
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rasterloom.llm.common import written
 from rasterloom.llm.op4_suffix_dedup import suffix_dedup
@@ -31,11 +33,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
+@F.pandas_udf(StringType())
+def _characters(data: pd.Series) -> pd.Series:
+    """The whole characters among some bytes."""
+    return data.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that also start earlier go, and with them documents of which nothing is left. A cut inside a character drops its other bytes too."""
-    cut = suffix_dedup(docs).where("doc_id is not null").select("doc_id", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), F.make_valid_utf8(F.col("kept").cast("string")).alias("valid"))
-    text = F.coalesce("whole", F.replace("valid", F.lit("�"), F.lit("")))
-    cut = cut.select("doc_id", text.alias("text")).where("length(text) > 0")
+    whole = F.try_validate_utf8(F.col("kept").cast("string"))
+    cut = suffix_dedup(docs).where("doc_id is not null").select("doc_id", whole.alias("whole"), F.when(whole.isNull(), F.col("kept")).alias("broken"))
+    cut = cut.select("doc_id", F.coalesce("whole", _characters("broken")).alias("text")).where("length(text) > 0")
     rest = docs.where("doc_id is not null").drop("text", "n_chars").join(cut, "doc_id")
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns).unionByName(docs.where("doc_id is null").select(*docs.columns))
 

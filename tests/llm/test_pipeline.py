@@ -57,3 +57,11 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_replacement_characters_of_a_text_outlive_a_cut_inside_another(spark, tmp_path):
+    shared = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, shared + "é", "en", "s", 0), (2, "\ufffd start " + shared + "è and \ufffd more", "en", "s", 0), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: (x.text, x.n_chars) for x in cp.suffix_array_dedup(spark, docs, str(tmp_path)).collect()}
+    assert got[1][0] == shared + "é" and got[2] == ("\ufffd start  and \ufffd more", 19) and len(got) == 2
