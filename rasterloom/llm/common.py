@@ -6,22 +6,31 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space and the control characters from tab to carriage return.
 SPACE = " \\t-\\r"
 WORD = "[^ \\x09-\\x0D]+"
+#: Bytes of an Arrow batch: two tasks of an executor hold a few of them each, however long the texts are.
+ARROW_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: by rows alone (10,000), a batch of long texts takes hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Only a local session (tests, bench) that names none gets a temporary one: on a cluster others could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -32,7 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_bounds(docs: DataFrame, parts: int, key: str = "doc_id") -> list[int]:
@@ -52,3 +71,24 @@ def id_range(key: Column, bounds: list[int]) -> Column:
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(math.ceil(math.log2(len(bounds) + 1))))])
     found = F.aggregate(steps, F.lit(0), lambda lo, k: F.when((lo + k <= len(bounds)) & (F.get(cuts, lo + k - 1) <= key), lo + k).otherwise(lo))
     return F.coalesce(found, F.lit(0))
+
+
+def text_hash(text: str = "text") -> Column:
+    """16 bytes that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """None if each doc_id stands on one text only. Else doc_id, node (text_hash), row: the rank of each text by (doc_id, node), as a row of its own each.
+
+    Ids and hashes alone are shuffled; a rank is a row's place in its range of ids, plus the rows of the ranges before.
+    """
+    clash = docs.groupBy("doc_id").agg(F.min(F.xxhash64(F.coalesce("text", F.lit("")))).alias("lo"), F.max(F.xxhash64(F.coalesce("text", F.lit("")))).alias("hi")).where("lo <> hi")
+    if clash.isEmpty():
+        return None
+    ids = docs.select("doc_id", text_hash().alias("node")).distinct()
+    ids = written(ids.withColumn("part", id_range(F.col("doc_id"), id_bounds(docs, min(1 << 20, docs.count() // 200_000 + 1)))), "ids")
+    # A row for each range, 2**20 at most.
+    before = ids.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "node"))
+    return written(ids.withColumn("row", inside).join(before, "part").select("doc_id", "node", (F.col("row") + F.col("before")).alias("row")), "numbered")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,9 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     before = None
     while True:
-        edges = written(_small(_large(edges)), "edges")
+        edges, old = written(_small(_large(edges)), "edges"), edges
+        dropped(old)
         # Unchanged edges are stars; the sum of hashes tells, and each node then has one edge.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if now[:2] == before and now[0] == now[2]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            found = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            found.scratch = edges.scratch
+            return found
         before = now[:2]
