@@ -37,6 +37,31 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both, int(a[1].sum() + b[1].sum()) - both
 
 
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What b has more or less than a, each copy with a number of its own: two such differences from a share what their texts share."""
+    h = np.union1d(a[0], b[0])
+    n = np.zeros(len(h), np.int64)
+    n[np.searchsorted(h, b[0])] += b[1]
+    n[np.searchsorted(h, a[0])] -= a[1]
+    h, n = h[n != 0], n[n != 0]
+    part = mix(h ^ np.where(n > 0, GOLDEN, U(1)))
+    k = np.abs(n)
+    nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return (np.repeat(part, k) + nth.astype(U) * GOLDEN).view(np.int64)
+
+
+def packed(sig: np.ndarray, slots: int = 7) -> np.ndarray:
+    """A byte of each register, so many in a long."""
+    n, m = sig.shape
+    longs = -(-m // slots)
+    b = np.zeros((n, longs * slots), U)
+    b[:, :m] = mix(sig.view(U) + U(1)) >> U(56)
+    out = np.zeros((n, longs), U)
+    for k in range(slots):
+        out = out << U(8) | b[:, k::slots]
+    return out.view(np.int64)
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """A row of m registers for each multiset (times as integers; those of an empty one are all alike)."""
     reg = np.full(len(bags) * m, np.inf)

@@ -88,3 +88,24 @@ def test_empty_table_and_no_duplicates(spark):
     assert op6.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
     assert sorted(map(tuple, op6.near_duplicates(df).collect())) == [(1, 1), (2, 2)]
+
+
+def test_large_buckets_by_differences(spark, monkeypatch):
+    """Edited copies around an original and around edited ones of their own, many of them only near each other."""
+    monkeypatch.setattr(op6, "SMALL", 3)
+    monkeypatch.setattr(op6, "MANY", 6)
+    r = random.Random(5)
+    base = [f"w{r.randrange(50)}" for _ in range(90)]
+    rows = []
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            t[r.randrange(len(t))] = f"n{r.randrange(4)}"
+        return t
+
+    family = [base] + [edited(base, r.randint(3, 5)) for _ in range(8)]
+    for k in range(150):
+        rows.append((k, " ".join(edited(r.choice(family), r.randint(0, 3)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in op6.near_duplicates(df).collect()), key=str) == brute(rows)
