@@ -13,19 +13,24 @@ and piece; repeated rows are packed each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, small_batches, written
 
 CAPACITY, END_ID = 1024, 2
 #: Rows of a rank bucket, and distinct words whose ids a worker remembers.
-RANKED, REMEMBERED = 50_000, 400_000
+RANKED, REMEMBERED = 50_000, 200_000
+#: Characters of text whose new words are encoded in one call.
+TOGETHER = 1 << 20
 #: Slack that the relaxed rules take for none.
 SLACKS = (1, 2, 4, 8, 16, 32)
 #: The tokenizer's own split into words, and characters on which its and this module's Unicode tables surely agree.
@@ -40,31 +45,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Words(dict):
+    """Words' ids. When it is full, words not asked for since it was last full are forgotten; frequent ones stay."""
+
+    def __init__(self):
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.before[word]
+        return found
+
+    def unknown(self, words: set[str]) -> list[str]:
+        new = [w for w in words if w not in self]
+        self.update((w, self.before[w]) for w in new if w in self.before)
+        return [w for w in new if w not in self]
+
+    def learn(self, words: list[str], ids: list[bytes]) -> None:
+        if len(self) + len(words) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self.update(zip(words, ids, strict=True))
+
+
 class Encoder:
-    """Texts to the bytes of their ids (little-endian 32 bits). The ids of a word don't depend on its neighbours, so words are encoded once."""
+    """Texts to the bytes of their ids (little-endian 32 bits). The ids of a word don't depend on its neighbours, so words are encoded once, all new ones of some texts in one call."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words = Words()
 
     def direct(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._encode([text])[0]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def __call__(self, text: str) -> bytes:
-        if OTHER.search(text):
-            return self.direct(text)
-        words = SPLIT.findall(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            for w in set(words):
-                if w not in self.words:
-                    self.words[w] = self.direct(w)
-            return b"".join(map(self.words.__getitem__, words))
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        other = [k for k, t in enumerate(texts) if OTHER.search(t)]
+        out = dict(zip(other, self._encode([texts[k] for k in other]), strict=True))
+        split = {k: SPLIT.findall(t) for k, t in enumerate(texts) if k not in out}
+        new = self.words.unknown(set(chain.from_iterable(split.values())))
+        if new:
+            self.words.learn(new, self._encode(new))
+        for k, words in split.items():
+            out[k] = b"".join(map(self.words.__getitem__, words))
+        return [out[k] for k in range(len(texts))]
 
 
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -82,10 +113,16 @@ def _tokenize(path: str, capacity: int):
             _memory[path] = Encoder(path)
         encode, last = _memory[path], END_ID.to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
-                rows += [(doc, k, *p) for k, p in enumerate(pieces_of((encode(text) if text else b"") + last, capacity))]
+            rows, at = [], 0
+            ids, texts = b.column(0).to_pylist(), b.column(1)
+            while at < len(ids):  # some MB of text at a time
+                some, size = [], 0
+                while at + len(some) < len(ids) and size < TOGETHER:
+                    some.append(texts[at + len(some)].as_py() or "")
+                    size += len(some[-1])
+                for doc, data in zip(ids[at:], encode.batch(some), strict=False):
+                    rows += [(doc, k, *p) for k, p in enumerate(pieces_of(data + last, capacity))]
+                at += len(some)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
@@ -93,6 +130,7 @@ def _tokenize(path: str, capacity: int):
 
 def token_pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(documents.sparkSession)
     return docs.mapInArrow(_tokenize(path or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
