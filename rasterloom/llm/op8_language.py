@@ -20,8 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import read_table
+from .common import read_table, small_batches
 
 #: Labelled documents and landmarks of a language, hashed n-grams, ridge, bytes scored at once.
 PER_LANGUAGE, LANDMARKS, DIMS, RIDGE, BATCH = 150, 16, 14, 1e-3, 1 << 19
@@ -100,10 +101,13 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | Non
     return fit([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (place[r["doc_id"]], r["lang"], r["text"]))])
 
 
-def _score(model: Model | None):
+def _score(model: Model | None, inside: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.num_columns - 1)
+            columns = b.columns[:-1]
+            if inside is not None:  # the text travels once, in the struct
+                texts, columns = texts.field(inside), b.columns
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             some: list[int] = []
             held: list[str] = []
@@ -129,16 +133,19 @@ def _score(model: Model | None):
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[: len(columns)], "lang_pred", "score"])
 
     return run
 
 
 def identify(documents: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score; with keep also these columns of the document, as the struct doc."""
-    docs = documents.select(F.col("doc_id"), held_out().alias("held_out"), *([F.struct(*keep).alias("doc")] if keep else []), F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(_score(model), f"{kinds}, lang_pred string, score double")
+    small_batches(documents.sparkSession)
+    inside = "text" if keep and "text" in keep and isinstance(documents.schema["text"].dataType, StringType) else None
+    text = [] if inside else [F.col("text").cast("string").alias("text")]
+    docs = documents.select(F.col("doc_id"), held_out().alias("held_out"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")] if keep else []), *text)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.mapInArrow(_score(model, inside), f"{kinds}, lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
