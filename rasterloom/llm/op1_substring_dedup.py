@@ -7,7 +7,8 @@ surroundings differ, are compared by window.
 
 Defined results: null, empty and short texts keep all words; a text under the window's length has no window;
 ties cannot occur, as (doc_id, start) orders all windows; rows that repeat a doc_id and text are judged as that one
-document and each returned; rows without doc_id are returned unchanged; other columns of the input are ignored.
+document and each returned; rows of one doc_id and different texts are documents of their own, in the order of their
+hashes; rows without doc_id are returned unchanged; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def substring_dedup(documents: DataFrame, window: int = 20, gram: int = 8, shard
     finds = found.passages.select("shard", F.lit(0).alias("kind"), "h1", "h2", "doc_id", "a", "nw", "first_doc", "first_a").unionByName(late)
     out = docs.groupBy("shard").cogroup(finds.groupBy("shard")).applyInPandas(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
     bare = documents.where("doc_id is null").select("text").mapInPandas(_bare, "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.unionByName(bare)
+    return found.named(out).unionByName(bare)
 
 
 def _bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,8 @@ bucket's windows into suffix order, where equal windows are neighbours, and all
 with very many such segments is dealt over several buckets, whose survivors meet in an aggregation.
 
 Defined results: null, empty and short texts keep all bytes; rows that repeat a doc_id and text are judged as that
-one document and each returned; rows without doc_id are returned unchanged; other columns of the input are ignored;
+one document and each returned; rows of one doc_id and different texts are documents of their own, in the order of
+their hashes; rows without doc_id are returned unchanged; other columns of the input are ignored;
 kept bytes are binary, as a cut may fall inside a character.
 """
 
@@ -112,7 +113,7 @@ def suffix_dedup(documents: DataFrame, window: int = 100, gram: int = 16, shard_
     late = late.select(found.shard(F.col("doc_id")).alias("shard"), F.lit(1).alias("kind"), none.alias("h1"), none.alias("h2"), "doc_id", F.col("s").alias("a"), "nw", none.alias("first_doc"), none.alias("first_a"))
     finds = found.passages.select("shard", F.lit(0).alias("kind"), "h1", "h2", "doc_id", "a", F.col("nw").cast("long").alias("nw"), "first_doc", "first_a").unionByName(late)
     out = docs.groupBy("shard").cogroup(finds.groupBy("shard")).applyInPandas(_remove(window, gram), RESULT)
-    return out.unionByName(documents.where("doc_id is null").select("text").mapInPandas(_bare, RESULT))
+    return found.named(out).unionByName(documents.where("doc_id is null").select("text").mapInPandas(_bare, RESULT))
 
 
 def _bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

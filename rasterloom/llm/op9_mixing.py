@@ -1,13 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 A source gives each document whole times (its target over its size, rounded down) and the rest by a threshold on a
-hash of doc_id: words are summed by source and the hash's leading bits, the bucket in which the rest runs out is
+hash of doc_id and text: words are summed by source and the hash's leading bits, the bucket in which the rest runs out is
 refined by the next bits, and so on until it holds one hash; documents below the threshold are in. No sort, and a
 larger share takes a superset of a smaller one.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; the null source comes last; ties cannot occur
-(rows that repeat a doc_id are in or out together); an empty table gives an empty result; other columns are ignored.
-The driver holds one row a source (some 100 bytes each), whose count is that of the sources, not of the documents.
+(rows that repeat a doc_id and its text are in or out together; those without doc_id are told apart by text); an empty table gives an empty result; other columns are ignored.
+The driver holds one row a source (some 100 bytes each), whose count is that of the sources, not of the documents; the
+tables made of them are joined without a hint, so that Spark broadcasts them only while they are small.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def thresholds(sizes: DataFrame, budgets: dict) -> dict:
         before, shift = shift, max(0, shift - BITS)
         known = spark.createDataFrame([(s, p, b) for s, (p, b) in state.items()], "src string, prefix long, budget double")
         match = F.col("source").eqNullSafe(F.col("src")) & ((F.shiftright("h", before) if before < TOP else F.lit(0).cast("long")) == F.col("prefix"))
-        buckets = sizes.where("size > 0").join(F.broadcast(known), match).groupBy("src", "budget", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        buckets = sizes.where("size > 0").join(known, match).groupBy("src", "budget", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         upto = F.sum("s").over(Window.partitionBy("src").orderBy("b"))
         edge = buckets.withColumn("upto", upto).where("upto > budget and upto - s <= budget")
         found = {r.src: r for r in edge.collect()}  # a row a source
@@ -73,7 +74,7 @@ def thresholds(sizes: DataFrame, budgets: dict) -> dict:
 
 def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many words of each document the mix takes, whole times its size; with keep also these columns of the document, as the struct doc."""
-    own = [F.col("source").cast("string").alias("source"), n_words().alias("size"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(9)), 1).alias("h")]
+    own = [F.col("source").cast("string").alias("source"), n_words().alias("size"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(9)), 1).alias("h")]
     sizes = written(documents.select("doc_id", *own), "sizes")
     per = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     want = targets(per, weights, cap)
@@ -84,7 +85,7 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: list[str] |
     plan = documents.sparkSession.createDataFrame(plan, "src string, source_size long, target double, times int, cut long")
     extra = F.when((F.col("cut") < 0) | (F.col("h") < F.col("cut")), 1).otherwise(0)
     rows = documents.select("doc_id", F.struct(*keep).alias("doc"), *own) if keep else sizes
-    return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + extra)).alias("taken"), *(["doc"] if keep else []))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + extra)).alias("taken"), *(["doc"] if keep else []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bounds, id_range, written
+from .common import id_bounds, id_range, numbered, small_batches, text_hash, written
 
 U = np.uint64
 MULT = 0x9E3779B97F4A7C15
@@ -208,13 +208,24 @@ _ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shard", pa.int32()
 
 @dataclass
 class Found:
-    """docs: doc_id, shard, text. passages: for each shard, the segments to look for there. contested: first places of differing segments of one name."""
+    """docs: doc_id, shard, text. passages: for each shard, the segments to look for there. contested: first places of differing segments of one name.
+
+    Where a doc_id of the input stands on several texts, doc_id here is the row number of each text in `ids` (common.numbered).
+    """
 
     docs: DataFrame
     passages: DataFrame
     contested: DataFrame
     shard: Callable
     shards: int
+    ids: DataFrame | None
+
+    def named(self, out: DataFrame) -> DataFrame:
+        """out with the input's own doc_id."""
+        if self.ids is None:
+            return out
+        own = self.ids.select(F.col("row").alias("row_"), F.col("doc_id").alias("own_"))
+        return out.join(own, out.doc_id == F.col("row_")).select(F.col("own_").alias("doc_id"), *[c for c in out.columns if c != "doc_id"])
 
 
 def recurring(documents: DataFrame, grain: Grain) -> Found:
@@ -225,6 +236,10 @@ def recurring(documents: DataFrame, grain: Grain) -> Found:
     shard at most, whatever its frequency.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    small_batches(documents.sparkSession)
+    ids = numbered(docs)
+    if ids is not None:
+        docs = docs.withColumn("node", text_hash()).join(ids, ["doc_id", "node"]).select(F.col("row").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     bounds = id_bounds(docs, min(1 << 20, size // grain.shard_bytes + 1))
     shard = lambda c: id_range(c, bounds).cast("int")
@@ -237,7 +252,7 @@ def recurring(documents: DataFrame, grain: Grain) -> Found:
     passages = here.join(kinds.where("n > 1"), ["h1", "h2"]).select("shard", "h1", "h2", F.col("e.doc_id").alias("doc_id"), F.col("e.a").alias("a"), "nw", F.col("f.doc_id").alias("first_doc"), F.col("f.a").alias("first_a"))
     shared = kinds.groupBy("h1").agg(F.count("*").alias("kinds"))
     contested = kinds.join(shared, "h1").where("kinds > 1 or own > 1").select(shard(F.col("f.doc_id")).alias("shard"), "h1", "h2", F.col("f.doc_id").alias("doc_id"), F.col("f.a").alias("a"), "nw", "kinds")
-    return Found(docs, passages, contested, shard, max(1, len(bounds) + 1))
+    return Found(docs, passages, contested, shard, max(1, len(bounds) + 1), ids)
 
 
 class Shard:

@@ -75,3 +75,23 @@ def test_lines_repeated_at_the_length_of_a_name(spark):
     for shard_bytes in (8 << 20, 2000):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, shard_bytes=shard_bytes).collect()} == brute(rows, 20)
+
+
+def test_one_id_on_several_texts(spark):
+    """Rows of one doc_id and different texts are documents of their own, in the order of their hashes."""
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice("abcdefghij") + r.choice("klmnop") for _ in range(n))
+    shared = say(30)
+    rows = [(1, say(25) + " " + shared), (1, shared + " " + say(25)), (2, say(5)), (2, say(40) + " " + shared), (3, shared), (3, shared), (None, shared), (-(1 << 63), shared), ((1 << 63) - 1, shared)]
+    order = {x: k for k, x in enumerate(sorted({x for x in rows if x[0] is not None}, key=lambda x: (x[0], hashlib.md5(x[1].encode()).digest())))}
+    seen, want = {}, []
+    for x, k in order.items():
+        w = x[1].split()
+        for s in range(len(w) - 19):
+            seen.setdefault(tuple(w[s : s + 20]), (k, s))
+    for x in rows:
+        w = x[1].split()
+        gone = {s + i for s in range(len(w) - 19) for i in range(20) if x[0] is not None and seen[tuple(w[s : s + 20])] < (order[x], s)}
+        want.append((str(x[0]), len(w), len(gone), " ".join(t for k, t in enumerate(w) if k not in gone)))
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), *x[1:]) for x in got) == sorted(want)
