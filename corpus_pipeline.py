@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rasterloom.llm.common import written
+from rasterloom.llm.common import small_batches, text_hash, written
 from rasterloom.llm.op4_suffix_dedup import suffix_dedup
-from rasterloom.llm.op6_minhash import near_duplicates
+from rasterloom.llm.op6_minhash import NO_ID, near_classes
 from rasterloom.llm.op8_language import identify, train
 from rasterloom.llm.op9_mixing import mix
 from rasterloom.llm.op10_packing import pack, token_pieces
@@ -26,11 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id stays of each class; of rows that repeat it, the one with the least text: from here on doc_id tells documents apart."""
-    heads = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    known = docs.join(heads, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("doc"), again.alias("again")).where("again = 1").select("doc.*")
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each class stays: that of the least doc_id (null last), of several texts with it the one of the least hash, of repeated rows one.
+
+    A null or empty text is a class of its own with its equals. Rows of one doc_id whose texts aren't near each other all stay.
+    """
+    heads = near_classes(docs).where("head").select("node", "at")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_hash().alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("at"), F.to_json(F.struct(*others)).alias("rest"))
+    again = F.row_number().over(Window.partitionBy("node", "at").orderBy("rest"))
+    return rows.join(heads, ["node", "at"]).withColumn("again", again).where("again = 1").select("doc.*")
 
 
 @F.pandas_udf(StringType())
