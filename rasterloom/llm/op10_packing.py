@@ -15,20 +15,20 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, written
+from .common import freed, read_table, small_batches, written
 
 CAPACITY, END_ID = 1024, 2
 #: Rows of a rank bucket, and distinct words whose ids a worker remembers.
-RANKED, REMEMBERED = 50_000, 200_000
+RANKED, REMEMBERED = 50_000, 400_000
 #: Characters of text whose new words are encoded in one call.
 TOGETHER = 1 << 20
 #: Slack that the relaxed rules take for none.
@@ -81,7 +81,7 @@ class Encoder:
         return self._encode([text])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def __call__(self, text: str) -> bytes:
         return self.batch([text])[0]
@@ -131,7 +131,7 @@ def _tokenize(path: str, capacity: int):
 def token_pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(documents.sparkSession)
-    return docs.mapInArrow(_tokenize(path or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(freed(_tokenize(path or default_tokenizer(), capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: list[int], first: int, capacity: int, slack: int = 0) -> dict[int, int]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, trim, written
 from .segments import Found, Grain, Shard, U, as_bytes, prefix, ramp, recurring, run_hash, window_hashes
 
 #: Passages in one automaton: bounds its memory to some tens of MB.
@@ -85,6 +85,7 @@ def _rims(window: int):
         nw, a, row = r["nw"].to_numpy(np.int64), r["a"].to_numpy(np.int64), r["row"].to_numpy(np.int64)
         s = np.repeat(a, nw) + ramp(nw)
         flat = np.concatenate(h) if h else np.zeros(0, np.int64)
+        trim()
         return pd.DataFrame({"h1": np.repeat(r["h1"].to_numpy(np.int64), nw), "w": flat[np.repeat(begin[row], nw) + s], "doc_id": np.repeat(r["doc_id"].to_numpy(np.int64), nw), "s": s})
 
     return run
@@ -109,6 +110,7 @@ def _remove(window: int):
         for d, t in enumerate(shard.texts):
             words = t.split()
             kept.append(b" ".join(compress(words, (~cut[shard.base[d] : shard.base[d + 1]]).tolist()) if gone[d] else words).decode())
+        trim()
         return pd.DataFrame({"doc_id": shard.owner, "n_words": shard.lens, "n_removed": gone, "kept_text": kept})
 
     return run

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, trim, written
 from .pfp import equal_runs, suffix_order
 from .segments import Found, Grain, Shard, as_bytes, byte_units, ramp, recurring, segments, window_hashes
 
@@ -37,6 +37,7 @@ def _texts(window: int):
         docs = docs[docs["doc_id"].isin(rims["doc_id"])].drop_duplicates("doc_id")
         text = {d: as_bytes(t) for d, t in zip(docs["doc_id"], docs["text"], strict=True)}
         rims = rims[rims["doc_id"].isin(text.keys())]
+        trim()
         return rims.assign(text=[text[d][a : a + nw + window - 1] for d, a, nw in zip(rims["doc_id"], rims["a"], rims["nw"], strict=True)])[["h1", "h2", "kinds", "doc_id", "a", "nw", "text"]]
 
     return run
@@ -65,6 +66,7 @@ def _settle(window: int):
         order = np.concatenate((at[edge[:-1]], order[spread]))
         k = np.searchsorted(begin, order, side="right") - 1
         n, m = len(edge) - 1, len(spread)
+        trim()
         return pd.DataFrame({
             "late": np.arange(n + m) < n, "h1": rims["h1"].to_numpy()[k], "w": np.concatenate((np.zeros(n, np.int64), w)), "doc_id": rims["doc_id"].to_numpy()[k],
             "s": rims["a"].to_numpy()[k] + order - begin[k], "nw": np.concatenate((np.diff(edge), np.ones(m, np.int64))),
@@ -91,6 +93,7 @@ def _remove(window: int, gram: int):
         begins[edge] = cut[edge]
         gone = shard.sums(cut)
         kept = [np.frombuffer(t, np.uint8)[~cut[shard.base[d] : shard.base[d + 1]]].tobytes() if gone[d] else t for d, t in enumerate(shard.texts)]
+        trim()
         return pd.DataFrame({"doc_id": shard.owner, "n_bytes": shard.lens, "n_removed": gone, "n_spans": shard.sums(begins), "kept": kept})
 
     return run

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, difference, overlap, packed, shingles, signatures
-from .common import dropped, read_table, small_batches, text_hash, written
+from .common import dropped, freed, read_table, small_batches, text_hash, written
 from .components import components
 
 #: Bands and their registers: of pairs at 0.8, 1 of 38,000 shares no band.
@@ -119,7 +119,7 @@ def _met(pairs: DataFrame, texts: DataFrame, registers: int) -> DataFrame:
     alike = _agreeing("u_sig", "v_sig", longs, longs * SLOTS - registers) * 80 >= AGREE * registers
     able = pairs.join(sig("v"), "v").join(sig("u"), "u").where(F.col("big") | alike).select("u", "v", "big")
     found = able.join(text("v"), "v").join(text("u"), "u").select("u", "v", "big", "u_text", "v_text")
-    return found.mapInArrow(_compare, "u binary, v binary, big boolean, near boolean, far_prefix long, any_prefix long, whole long, parts array<long>")
+    return found.mapInArrow(freed(_compare), "u binary, v binary, big boolean, near boolean, far_prefix long, any_prefix long, whole long, parts array<long>")
 
 
 def _smaller(met: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def near_classes(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) ->
     """node (text_hash of the text), class_id, head, at: for each distinct text its class; head: the class keeps this one, of the row with doc_id `at` (NO_ID: null)."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.select("doc_id", text_hash().alias("node"), "text").mapInArrow(_signed(bands, rows), "doc_id long, node binary, keys array<long>, sig array<long>")
+    signed = docs.select("doc_id", text_hash().alias("node"), "text").mapInArrow(freed(_signed(bands, rows)), "doc_id long, node binary, keys array<long>, sig array<long>")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")), "nodes")
     keys = nodes.select("node", F.explode("keys").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import read_table, small_batches
+from .common import freed, read_table, small_batches
 
 #: Labelled documents and landmarks of a language, hashed n-grams, ridge, bytes scored at once.
 PER_LANGUAGE, LANDMARKS, DIMS, RIDGE, BATCH = 150, 16, 14, 1e-3, 1 << 19
@@ -145,7 +145,7 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str] | None =
     text = [] if inside else [F.col("text").cast("string").alias("text")]
     docs = documents.select(F.col("doc_id"), held_out().alias("held_out"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")] if keep else []), *text)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(_score(model, inside), f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(freed(_score(model, inside)), f"{kinds}, lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

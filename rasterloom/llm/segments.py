@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bounds, id_range, numbered, small_batches, text_hash, written
+from .common import freed, id_bounds, id_range, numbered, small_batches, text_hash, written
 
 U = np.uint64
 MULT = 0x9E3779B97F4A7C15
@@ -244,7 +244,7 @@ def recurring(documents: DataFrame, grain: Grain) -> Found:
     bounds = id_bounds(docs, min(1 << 20, size // grain.shard_bytes + 1))
     shard = lambda c: id_range(c, bounds).cast("int")
     docs = docs.select("doc_id", shard(F.col("doc_id")).alias("shard"), "text")
-    found = docs.mapInArrow(_scan(grain), SEGMENT)
+    found = docs.mapInArrow(freed(_scan(grain)), SEGMENT)
     often = written(found.withColumn("times", F.sum(F.col("n") + F.col("own") - 1).over(Window.partitionBy("h1"))).where("times > 1").drop("times"), "segments")
     kinds = often.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.sum("n").alias("n"), F.max("nw").alias("nw"), F.max("own").alias("own"))
     kinds = written(kinds, "kinds")
