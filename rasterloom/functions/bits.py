@@ -88,3 +88,66 @@ def pack_words(values: Column, bits: int, n: int) -> Column:
 def unpack(v: Column, bits: int, n: int) -> Column:
     """The inverse of pack."""
     return F.array(*[field(v, k * bits, bits) for k in range(n)])
+
+
+def add_base(values: Column, base: int, zero_too: bool = False) -> Column:
+    """base on fields that were widened; zeros stay zero unless asked for."""
+    return F.transform(values, lambda v: F.when((v != 0) | F.lit(zero_too), v + base).otherwise(v))
+
+
+def less_base(values: Column, bits: int, base: int, zero_too: bool = False) -> Column:
+    """base off fields that are to be narrowed to so many bits, which wrap; zeros stay zero unless asked for."""
+    return F.transform(values, lambda v: F.when((v != 0) | F.lit(zero_too), v - base).otherwise(v).bitwiseAND(F.lit((1 << bits) - 1)))
+
+
+def byte_fields(values: Column, bits: int, high_first: bool = False) -> Column:
+    """The fields of each byte of an array, lowest first or highest first."""
+    places = range(8 - bits, -1, -bits) if high_first else range(0, 8, bits)
+    return F.flatten(F.transform(values, lambda v: F.array(*[field(v, k, bits) for k in places])))
+
+
+def pack_bytes(values: Column, bits: int, high_first: bool = False) -> Column:
+    """An array of fields as an array of bytes, the first field lowest or highest; the last byte is filled with zeros."""
+    n = 8 // bits
+    mask = F.lit((1 << bits) - 1)
+    at = lambda v, k: F.shiftleft(F.coalesce(v.bitwiseAND(mask), F.lit(0)), 8 - bits - k * bits if high_first else k * bits)
+
+    def byte(w: Column) -> Column:
+        out = at(F.get(values, w * n), 0)
+        for k in range(1, n):
+            out = out.bitwiseOR(at(F.get(values, w * n + k), k))
+        return out
+
+    found = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / n).cast("int")), byte)
+    return F.when(F.size(values) > 0, found).when(F.size(values) == 0, F.slice(values, 1, 0))
+
+
+def bit_reverse(values: Column, bits: int) -> Column:
+    """Each byte of an array with its chunks of so many bits in reverse order."""
+
+    def turned(v: Column) -> Column:
+        out = F.shiftleft(field(v, 0, bits), 8 - bits)
+        for k in range(bits, 8, bits):
+            out = out.bitwiseOR(F.shiftleft(field(v, k, bits), 8 - bits - k))
+        return out
+
+    return F.transform(values, turned)
+
+
+def replaced(values: Column, old: list[int], new: list[int]) -> Column:
+    """Each value that stands in old as the one at its place in new; where old repeats a value, the first counts."""
+    first = {a: b for a, b in reversed(list(zip(old, new, strict=True)))}
+    known = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    return F.transform(values, lambda v: F.coalesce(F.try_element_at(known, v), v))
+
+
+def swap_index(values: Column, k: int) -> Column:
+    """Pixels with index 0 and index k exchanged, to go with a palette whose entries are."""
+    return F.transform(values, lambda v: F.when(v == 0, F.lit(k)).when(v == k, F.lit(0)).otherwise(v))
+
+
+def texture_alpha(index: Column, alpha: Column | None, alpha_bits: int) -> Column:
+    """Texture pixels: the high bits of alpha above the bits of the index; opaque without alpha."""
+    low = 8 - alpha_bits
+    top = F.lit(255 >> low << low) if alpha is None else F.shiftleft(F.shiftright(alpha, low), low)
+    return index.bitwiseOR(top)

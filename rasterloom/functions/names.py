@@ -36,6 +36,5 @@ def fix_separators(p: Column) -> Column:
 
 
 def identifier(s: Column) -> Column:
-    """A valid C identifier."""
-    s = F.regexp_replace(s, "[^A-Za-z0-9_]", "_")
-    return F.when(F.rlike(s, F.lit("^[0-9]")) | (F.length(s) == 0), F.concat(F.lit("_"), s)).otherwise(s)
+    """A valid C identifier: _ in place of what cannot stand in one, and of a first character that is no letter."""
+    return F.concat(F.regexp_replace(F.coalesce(F.nullif(F.substr(s, F.lit(1), F.lit(1)), F.lit("")), F.lit("_")), "[^A-Za-z]", "_"), F.regexp_replace(F.substr(s, F.lit(2)), "[^A-Za-z0-9_]", "_"))

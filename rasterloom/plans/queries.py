@@ -265,14 +265,9 @@ def run_segments(spark, d):
     return px.groupBy("vec_id", "v", "g").agg(F.min("k").alias("first"), F.count("*").alias("n")).select("vec_id", "first", "v", "n")
 
 
-@query("SELECT vec_id, list_sum([CAST(CAST(floor((CAST(embedding[k] AS DOUBLE) + 1) * 100) AS BIGINT) % 16 * CAST(power(16, k - 1) AS BIGINT) AS HUGEINT) for k in range(1, 9)])::BIGINT AS word FROM embeddings")
-def bit_pack4(spark, d):
-    return rasters(spark, d, "byte").select("vec_id", bits.pack(F.slice("px", 1, 8), 4).alias("word"))
-
-
 @query("WITH " + _PX + " SELECT vec_id, CAST(y AS INTEGER) AS place, CAST(sum(CAST(b % 16 AS BIGINT) * CAST(power(16, x) AS BIGINT)) AS BIGINT) AS word FROM px GROUP BY vec_id, y")
-def bit_pack4_whole(spark, d):
-    """All 64 pixels of each raster; bit_pack4 has the first word only."""
+def bit_pack4(spark, d):
+    """All 64 pixels of each raster."""
     return rasters(spark, d, "byte").select("vec_id", F.posexplode(bits.pack_words(F.col("px"), 4, 8)).alias("place", "word"))
 
 
@@ -308,9 +303,47 @@ def path_parts(spark, d):
     return table(spark, d, "pages").select("page_id", names.path_name(u).alias("name"), names.path_dir(u).alias("dir"), names.path_ext(u).alias("ext"), names.path_title(u).alias("title"), names.with_ext(u, "bin").alias("other"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(i, '^[0-9]') OR i = '' THEN '_' || i ELSE i END AS ident FROM (SELECT page_id, regexp_replace(substr(url, 8 + page_id % 20), '[^A-Za-z0-9_]', '_', 'g') AS i FROM pages)")
+@query("""SELECT page_id, ident(url) AS ident, ident(reverse(url)) AS turned, ident(CAST(page_id AS VARCHAR) || url) AS numbered FROM pages""".replace("ident(url)", "CASE WHEN regexp_matches(url, '^[A-Za-z]') THEN url[1] ELSE '_' END || regexp_replace(url[2:], '[^A-Za-z0-9_]', '_', 'g')").replace("ident(reverse(url))", "CASE WHEN regexp_matches(reverse(url), '^[A-Za-z]') THEN reverse(url)[1] ELSE '_' END || regexp_replace(reverse(url)[2:], '[^A-Za-z0-9_]', '_', 'g')").replace("ident(CAST(page_id AS VARCHAR) || url)", "'_' || regexp_replace((CAST(page_id AS VARCHAR) || url)[2:], '[^A-Za-z0-9_]', '_', 'g')"))
 def ident_fix(spark, d):
-    return table(spark, d, "pages").select("page_id", names.identifier(F.substr("url", (8 + F.col("page_id") % 20).cast("int"))).alias("ident"))
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", names.identifier(u).alias("ident"), names.identifier(F.reverse(u)).alias("turned"), names.identifier(F.concat(F.col("page_id").cast("string"), u)).alias("numbered"))
+
+
+@query("WITH " + _PX + """ SELECT vec_id, CAST(8 * y + x AS INTEGER) AS place, CAST(b % 16 * 16 + b // 16 AS BIGINT) AS nibbles, CAST(b % 4 * 64 + b // 4 % 4 * 16 + b // 16 % 4 * 4 + b // 64 AS BIGINT) AS pairs,
+  CAST(b % 2 * 128 + b // 2 % 2 * 64 + b // 4 % 2 * 32 + b // 8 % 2 * 16 + b // 16 % 2 * 8 + b // 32 % 2 * 4 + b // 64 % 2 * 2 + b // 128 AS BIGINT) AS bits FROM px""")
+def bit_reverse(spark, d):
+    px = F.col("px").cast("array<bigint>")
+    both = F.arrays_zip(bits.bit_reverse(px, 4).alias("nibbles"), bits.bit_reverse(px, 2).alias("pairs"), bits.bit_reverse(px, 1).alias("bits"))
+    return rasters(spark, d, "byte").select("vec_id", F.posexplode(both).alias("place", "b")).select("vec_id", "place", "b.*")
+
+
+@query("WITH " + _PX + """, f AS (SELECT vec_id, 8 * y + x AS i, CASE WHEN b = 0 THEN 0 ELSE (b - 3 + 256) % 16 END AS n, (b - 3 + 256) % 16 AS z FROM px)
+SELECT vec_id, CAST(i // 2 AS INTEGER) AS place, CAST(sum(CASE WHEN i % 2 = 0 THEN n ELSE 16 * n END) AS BIGINT) AS low, CAST(sum(CASE WHEN i % 2 = 0 THEN 16 * z ELSE z END) AS BIGINT) AS high FROM f GROUP BY vec_id, i // 2""")
+def bit_pack_base(spark, d):
+    """8 to 4 bits with a base: lowest field first and zeros kept, and highest first with the base off zeros too."""
+    px = F.col("px").cast("array<bigint>")
+    both = F.arrays_zip(bits.pack_bytes(bits.less_base(px, 4, 3), 4).alias("low"), bits.pack_bytes(bits.less_base(px, 4, 3, True), 4, True).alias("high"))
+    return rasters(spark, d, "byte").select("vec_id", F.posexplode(both).alias("place", "b")).select("vec_id", "place", "b.*")
+
+
+@query("WITH " + _PX + """, f AS (SELECT vec_id, 8 * y + x AS i, unnest([0, 1]) AS k, b FROM px)
+SELECT vec_id, CAST(2 * i + k AS INTEGER) AS place, CAST(CASE WHEN v = 0 THEN 0 ELSE v + 16 END AS BIGINT) AS low, CAST(w + 16 AS BIGINT) AS high FROM (SELECT vec_id, i, k, CASE WHEN k = 0 THEN b % 16 ELSE b // 16 END AS v, CASE WHEN k = 0 THEN b // 16 ELSE b % 16 END AS w FROM f)""")
+def bit_unpack_base(spark, d):
+    """4 to 8 bits with a base: lowest field first and zeros kept, and highest first with the base on zeros too."""
+    px = F.col("px").cast("array<bigint>")
+    both = F.arrays_zip(bits.add_base(bits.byte_fields(px, 4), 16).alias("low"), bits.add_base(bits.byte_fields(px, 4, True), 16, True).alias("high"))
+    return rasters(spark, d, "byte").select("vec_id", F.posexplode(both).alias("place", "b")).select("vec_id", "place", "b.*")
+
+
+@query("WITH " + _PX + """ SELECT vec_id, CAST(8 * y + x AS INTEGER) AS place, CAST(CASE p WHEN 0 THEN 5 WHEN 5 THEN 0 ELSE p END AS BIGINT) AS swapped, CAST(CASE p WHEN 1 THEN 30 WHEN 2 THEN 1 ELSE p END AS BIGINT) AS replaced, CAST(CASE WHEN p = 0 THEN 0 ELSE p + 4 END AS BIGINT) AS moved,
+  CAST(p + b // 8 * 8 AS BIGINT) AS a5i3, CAST(p + 248 AS BIGINT) AS opaque FROM (SELECT *, b % 8 AS p FROM px)""")
+def pixel_prep(spark, d):
+    """Pixels with the transparent index swapped, values replaced, an offset, and alpha of textures (its own, and opaque)."""
+    df = rasters(spark, d, "byte").select("vec_id", F.col("px").cast("array<bigint>").alias("px")).select("vec_id", "px", F.transform("px", lambda v: v % 8).alias("p"))
+    long = lambda c: c.cast("array<bigint>")
+    each = F.arrays_zip(long(bits.swap_index(F.col("p"), 5)).alias("swapped"), long(bits.replaced(F.col("p"), [1, 2], [30, 1])).alias("replaced"), bits.add_base(F.col("p"), 4).alias("moved"),
+                        F.transform("px", lambda v: bits.texture_alpha(v % 8, v, 5)).alias("a5i3"), F.transform("p", lambda v: bits.texture_alpha(v, None, 5)).alias("opaque"))
+    return df.select("vec_id", F.posexplode(each).alias("place", "b")).select("vec_id", "place", "b.*")
 
 
 def _artifacts(spark, d) -> DataFrame:

@@ -35,9 +35,10 @@ def _rows(values: Column, per: int, lead: str, end: str) -> Column:
 
 
 def c_array(symbol: Column, data: Column, dtype: str = "u8") -> Column:
-    _, per, kind, _ = ELEMENT[dtype]
+    """A definition whose length is that of the data up to a multiple of four bytes."""
+    size, per, kind, _ = ELEMENT[dtype]
     values = F.transform(elements(data, dtype), lambda v: F.concat(F.lit("0x"), v))
-    return bound(values, lambda v: F.concat(F.lit(f"const {kind} "), symbol, F.lit("["), F.size(v).cast("string"), F.lit("] __attribute__((aligned(4)))=\n{\n"), _rows(v, per, "\t", ","), F.lit("\n};\n")))
+    return bound(values, lambda v: F.concat(F.lit(f"const {kind} "), symbol, F.lit("["), F.floor(F.ceil(F.octet_length(data) / 4) * 4 / size).cast("string"), F.lit('] __attribute__((aligned(4))) __attribute__((visibility("hidden")))=\n{\n'), _rows(v, per, "\t", ","), F.lit(",\n};\n\n")))
 
 
 def asm_array(symbol: Column, data: Column, dtype: str = "u8") -> Column:
