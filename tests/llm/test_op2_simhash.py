@@ -59,3 +59,15 @@ def test_neighbours_against_all_pairs(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert op2.op2_simhash(spark, str(tmp_path)).count() == 0
+
+
+def test_counts_of_a_query_set_against_brute_force(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(63) for _ in range(6)]
+    fps = [b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 3, 4, 5) for _ in range(4)]
+    fps = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
+    asked = fps[::5]
+    near = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 3
+    want = {a: n for a in asked if (n := sum(a != b and near(a, b) for b in set(fps)))}
+    make = lambda x: spark.createDataFrame([(f,) for f in x], "fp long")
+    assert {x.fp: x.n_near for x in op2.within(make(asked), make(fps)).collect()} == want
