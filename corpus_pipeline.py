@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: each stage works on all that its predecessor kept.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Rows without doc_id stay in
-all stages. What the stages do with nulls, ties, repeated rows and empty tables follows from their operators.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Rows without doc_id go through
+all stages, as do those of one doc_id and different texts; of near copies and repeated rows one stays (near_dedup). A null
+or empty text ends in the first stage, as one without letters does. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rasterloom.llm.common import small_batches, text_hash, written
+from rasterloom.llm.common import text_hash, written
 from rasterloom.llm.op4_suffix_dedup import suffix_dedup
 from rasterloom.llm.op6_minhash import NO_ID, near_classes
 from rasterloom.llm.op8_language import identify, train
