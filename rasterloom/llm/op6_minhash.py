@@ -15,7 +15,7 @@ that share a bucket is settled, by the exact overlap of their multisets:
   ROUNDS times at most, so that it ends).
 
 So no bucket's pairs are listed, and none is cut off. Before texts are fetched, two signatures must agree in AGREE of
-80 registers; of pairs at exactly 0.8, 1 of 60,000 does not.
+80 registers; of pairs at exactly 0.8, 1 of 86,000 does not.
 
 Defined results: class_id is the least doc_id of the class; a text without words (null, empty) is near nothing but an
 equal one's class; one of under five words has them all as its only shingle; repeated rows belong to one class, as do
