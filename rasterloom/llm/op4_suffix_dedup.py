@@ -15,6 +15,7 @@ kept bytes are binary, as a cut may fall inside a character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from .segments import Found, Grain, Shard, as_bytes, byte_units, ramp, recurring
 
 #: Segments of one name in a bucket, bytes in a bucket (on average).
 SPREAD, BUCKET = 2048, 1 << 20
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, node binary"
 
 
 def _texts(window: int):
@@ -94,13 +95,13 @@ def _remove(window: int, gram: int):
         gone = shard.sums(cut)
         kept = [np.frombuffer(t, np.uint8)[~cut[shard.base[d] : shard.base[d + 1]]].tobytes() if gone[d] else t for d, t in enumerate(shard.texts)]
         trim()
-        return pd.DataFrame({"doc_id": shard.owner, "n_bytes": shard.lens, "n_removed": gone, "n_spans": shard.sums(begins), "kept": kept})
+        return pd.DataFrame({"doc_id": shard.owner, "n_bytes": shard.lens, "n_removed": gone, "n_spans": shard.sums(begins), "kept": kept, "node": [md5(t).digest() for t in shard.texts]})
 
     return run
 
 
 def suffix_dedup(documents: DataFrame, window: int = 100, gram: int = 16, shard_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept: each text without the bytes of windows that also start earlier in the corpus."""
+    """doc_id, n_bytes, n_removed, n_spans, kept, node (text_hash of the whole text): each text without the bytes of windows that also start earlier in the corpus."""
     found: Found = recurring(documents, Grain("byte", window, gram, shard_bytes))
     docs = found.docs
     rims = written(docs.groupBy("shard").cogroup(found.contested.groupBy("shard")).applyInPandas(_texts(window), "h1 long, h2 long, kinds long, doc_id long, a long, nw int, text binary"), "rims")
@@ -122,7 +123,7 @@ def suffix_dedup(documents: DataFrame, window: int = 100, gram: int = 16, shard_
 def _bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = [as_bytes(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": pd.Series([None] * len(texts), dtype="Int64"), "n_bytes": [len(t) for t in texts], "n_removed": 0, "n_spans": 0, "kept": texts})
+        yield pd.DataFrame({"doc_id": pd.Series([None] * len(texts), dtype="Int64"), "n_bytes": [len(t) for t in texts], "n_removed": 0, "n_spans": 0, "kept": texts, "node": [md5(t).digest() for t in texts]})
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

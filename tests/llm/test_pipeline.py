@@ -65,3 +65,11 @@ def test_replacement_characters_of_a_text_outlive_a_cut_inside_another(spark, tm
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id: (x.text, x.n_chars) for x in cp.suffix_array_dedup(spark, docs, str(tmp_path)).collect()}
     assert got[1][0] == shared + "é" and got[2] == ("\ufffd start  and \ufffd more", 19) and len(got) == 2
+
+
+def test_one_id_on_several_texts_is_not_multiplied(spark, tmp_path):
+    shared = " ".join(f"y{i}" for i in range(60))
+    rows = [(1, "one " + shared, "en", "s", 0), (1, "two and other words", "de", "s", 0), (2, "three " + shared, "en", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.suffix_array_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.lang) for x in got) == [(1, "de"), (1, "en"), (2, "en")] and {x.text for x in got} >= {"two and other words"}
