@@ -47,10 +47,12 @@ def _characters(data: pd.Series) -> pd.Series:
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that also start earlier go, and with them documents of which nothing is left. A cut inside a character drops its other bytes too."""
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
-    cut = suffix_dedup(docs).where("doc_id is not null").select("doc_id", whole.alias("whole"), F.when(whole.isNull(), F.col("kept")).alias("broken"))
-    cut = cut.select("doc_id", F.coalesce("whole", _characters("broken")).alias("text")).where("length(text) > 0")
-    rest = docs.where("doc_id is not null").drop("text", "n_chars").join(cut, "doc_id")
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns).unionByName(docs.where("doc_id is null").select(*docs.columns))
+    cut = suffix_dedup(docs).where("doc_id is not null").select("doc_id", "node", whole.alias("whole"), F.when(whole.isNull(), F.col("kept")).alias("broken"))
+    cut = cut.select("doc_id", "node", F.coalesce("whole", _characters("broken")).alias("text")).where("length(text) > 0")
+    new = {"text": F.col("cut.text"), "n_chars": F.length("cut.text").cast("long")}
+    rest = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_hash().alias("own")).alias("d")
+    rest = rest.join(cut.alias("cut"), (F.col("doc.doc_id") == F.col("cut.doc_id")) & (F.col("d.own") == F.col("cut.node")))
+    return rest.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null").select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
