@@ -9,8 +9,8 @@ that share a bucket is settled, by the exact overlap of their multisets:
   members are compared with it. Of two members, both near the pivot, nothing more need be known: they are of one class.
 - In a bucket of SMALL members at most, what isn't near the pivot meets all the others.
 - In a large one, members are written as differences from the pivot. Two texts of which one isn't near the pivot can
-  only be near each other if they share a part of their differences, and how much follows from their sizes: the rarest
-  parts of each (a prefix whose length that bound gives) key smaller buckets. There, what isn't near the pivot meets the
+  only be near each other if they share a part of their differences, and how much follows from their sizes: the first
+  parts of each (as many as that bound gives, in an order with common parts last) key smaller buckets. There, what isn't near the pivot meets the
   others that may share enough from that part on; a bucket of over MANY members first gets a pivot of its own (all this
   ROUNDS times at most, so that it ends).
 
@@ -46,6 +46,8 @@ SHARED, OF, AGREE = 4, 5, 48
 SMALL, MANY = 32, 2048
 #: Times that buckets get pivots; in the last one, buckets of any size are as those of MANY members.
 ROUNDS = 3
+#: Members of a bucket whose parts tell which are common, how many of them must have one, and the most that are put last.
+SAMPLE, OFTEN, COMMON = 128, 3, 1024
 #: Registers in a long of a packed signature, bytes of text signed at once, parts of differences in a batch.
 SLOTS, SIGNED, PARTS = 7, 1 << 20, 1 << 18
 #: Stands for a missing doc_id in joins.
@@ -78,9 +80,9 @@ def _signed(bands: int, rows: int):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether u and v are near and, where asked for, their difference with the lengths of its prefixes. Rows of one u mostly come together, so its multiset is made once."""
+    """Whether u and v are near and, where asked for, v's size and its difference from u. Rows of one u mostly come together, so its multiset is made once."""
     last, bag = None, None
-    kind = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("big", pa.bool_()), ("near", pa.bool_()), ("far_prefix", pa.int64()), ("any_prefix", pa.int64()), ("whole", pa.int64()), ("parts", pa.list_(pa.int64()))])
+    kind = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("big", pa.bool_()), ("near", pa.bool_()), ("whole", pa.int64()), ("parts", pa.list_(pa.int64()))])
     for b in batches:
         rows, size = [], 0
         for u, v, big, u_text, v_text in zip(*b.columns, strict=True):
@@ -88,13 +90,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, bag = u, shingles(u_text.as_py().encode())
             other = shingles(v_text.as_py().encode())
             both, all_ = overlap(bag, other)
-            row = [u, v.as_py(), big.as_py(), all_ > 0 and OF * both >= SHARED * all_, None, None, None, None]
+            row = [u, v.as_py(), big.as_py(), all_ > 0 and OF * both >= SHARED * all_, None, None]
             if row[2]:
                 parts = difference(bag, other)
-                n, whole = len(parts), int(other[1].sum())
-                # For a text that isn't near u: n - whole / 4 parts at least are shared with a text near it, and 1. For any other: over 4 / 9 of its parts with such a text.
-                row[4:] = n - max(1, -(-(4 * n - whole) // 4)) + 1, n - 4 * n // 9, whole, parts
-                size += n
+                row[4:] = int(other[1].sum()), parts
+                size += len(parts)
             rows.append(row)
             if size > PARTS:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
@@ -119,22 +119,35 @@ def _met(pairs: DataFrame, texts: DataFrame, registers: int) -> DataFrame:
     alike = _agreeing("u_sig", "v_sig", longs, longs * SLOTS - registers) * 80 >= AGREE * registers
     able = pairs.join(sig("v"), "v").join(sig("u"), "u").where(F.col("big") | alike).select("u", "v", "big")
     found = able.join(text("v"), "v").join(text("u"), "u").select("u", "v", "big", "u_text", "v_text")
-    return found.mapInArrow(freed(_compare), "u binary, v binary, big boolean, near boolean, far_prefix long, any_prefix long, whole long, parts array<long>")
+    return found.mapInArrow(freed(_compare), "u binary, v binary, big boolean, near boolean, whole long, parts array<long>")
 
 
 def _smaller(met: DataFrame) -> DataFrame:
-    """Buckets of those that share one of the rarest parts of their differences from a pivot u, if one of them isn't near u.
+    """Buckets of those that share an early part of their differences from a pivot u, if one of them isn't near u.
 
     far: may be the one that isn't near u; any: may be the other; parts of the difference, rank of the shared one, size of the text.
+    Two near texts differ in a ninth of their summed sizes at most, so each shares all its parts but these with the other,
+    and one near u over 4 / 9 of them with one that isn't: the first shared part is among the first of each. Any order of
+    the parts would do; common ones (by a sample of the members) come last, the others by their hashes.
     """
+    n, whole, near = F.size("parts").cast("long"), F.col("whole"), F.col("near")
     big = met.where("big")
-    parts = big.join(big.where("not near").select("u").distinct(), "u", "left_semi").select("u", "v", "near", "far_prefix", "any_prefix", "whole", F.size("parts").cast("long").alias("parts"), F.explode("parts").alias("part"))
-    often = parts.groupBy("u", "part").agg(F.count("*").alias("times"), F.min("near").alias("near_all")).where("times > 1 and not near_all").drop("near_all")
-    # Parts that cannot be shared so come first in the order.
-    own = Window.partitionBy("u", "v")
-    ranked = parts.join(often, ["u", "part"]).select("*", (F.col("parts") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "part"))).alias("rank"))
-    far, any_ = ~F.col("near") & (F.col("rank") <= F.col("far_prefix")), F.col("rank") <= F.col("any_prefix")
-    return ranked.where(far | any_).select(F.xxhash64("u", "part").alias("key"), F.col("v").alias("node"), far.alias("far"), any_.alias("any"), "parts", "rank", "whole")
+    of = big.groupBy("u").agg(F.count("*").alias("members"), F.max("whole").alias("widest"), F.min(F.when(~near, n)).alias("far_least")).where("far_least is not null")
+    big = big.join(of, "u")
+    some = big.where(F.pmod(F.xxhash64("v"), F.floor(F.col("members") / SAMPLE) + 1) == 0).select("u", F.explode("parts").alias("part"))
+    often = some.groupBy("u", "part").agg(F.count("*").alias("times")).where(F.col("times") >= OFTEN)
+    often = often.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "part"))).where(F.col("nth") <= COMMON)
+    common = often.groupBy("u").agg(F.sort_array(F.collect_list(F.struct(-F.col("nth"), "part"))).alias("common")).select("u", F.col("common.part").alias("common"))
+    known = F.coalesce("common", F.array().cast("array<bigint>"))
+    # What a near text of at most this size may differ in; parts shared at least.
+    differ = (whole + F.least(F.col("widest"), F.floor(whole * 5 / 4))) / 9
+    shared = F.greatest(F.lit(1), F.ceil(n - differ))
+    far_first = F.when(near, 0).otherwise(n - shared + 1)
+    any_first = F.when(n + differ < F.col("far_least"), 0).otherwise(n - F.greatest(shared, F.floor(n * 4 / 9) + 1) + 1)
+    first = big.join(common, "u", "left").select("u", "v", "whole", n.alias("parts"), far_first.alias("far_first"), any_first.alias("any_first"), F.concat(F.sort_array(F.array_except("parts", known)), F.array_intersect(known, "parts")).alias("ordered"))
+    each = F.posexplode(F.slice("ordered", F.lit(1), F.greatest("far_first", "any_first").cast("int"))).alias("place", "part")
+    rank = F.col("place") + F.lit(1).cast("long")
+    return first.select("u", "v", "whole", "parts", "far_first", "any_first", each).select(F.xxhash64("u", "part").alias("key"), F.col("v").alias("node"), (rank <= F.col("far_first")).alias("far"), (rank <= F.col("any_first")).alias("any"), "parts", rank.alias("rank"), "whole")
 
 
 def _links(members: DataFrame, texts: DataFrame, registers: int) -> list[DataFrame]:
