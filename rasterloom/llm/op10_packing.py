@@ -14,13 +14,14 @@ and piece; repeated rows are packed each; an empty table gives an empty result;
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,12 @@ RANKED, REMEMBERED = 50_000, 400_000
 TOGETHER = 1 << 20
 #: Slack that the relaxed rules take for none.
 SLACKS = (1, 2, 4, 8, 16, 32)
-#: The tokenizer's own split into words, and characters on which its and this module's Unicode tables surely agree.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-OTHER = regex.compile(r"[^\t\n\r -~¡-ɏ]|<\|endoftext\|>")
+#: Characters on which the tokenizer's and this module's Unicode tables surely agree; texts with others are encoded whole.
+OTHER = re.compile(r"[^\t\n\r -~¡-ɏ]")
+END_MARK = "<|endoftext|>"
+LETTERS, DIGITS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+#: The tokenizer's own split into words, for these characters.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 _memory: dict = {}
 
 
@@ -87,7 +91,7 @@ class Encoder:
         return self.batch([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        other = [k for k, t in enumerate(texts) if OTHER.search(t)]
+        other = [k for k, t in enumerate(texts) if OTHER.search(t) or END_MARK in t]
         out = dict(zip(other, self._encode([texts[k] for k in other]), strict=True))
         split = {k: SPLIT.findall(t) for k, t in enumerate(texts) if k not in out}
         new = self.words.unknown(set(chain.from_iterable(split.values())))
