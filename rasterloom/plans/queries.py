@@ -355,13 +355,13 @@ def artifact_sizes(spark, d):
     return export.sizes(_artifacts(spark, d), riff=True)
 
 
-@query("""WITH old AS (SELECT substr(substr('entry_of_document_number_' || doc_id, 1, 21) || '_' || doc_id, 1, 24) AS name, strlen(text) AS n FROM documents WHERE doc_id % 3 <> 0),
+@query("""WITH old AS (SELECT substr(substr('entry_of_document_number_' || doc_id, 1, 21) || '_' || doc_id, 1, 24) AS name, strlen(text) AS n FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0),
 new AS (SELECT substr(substr('entry_of_document_number_' || doc_id, 1, 21) || '_' || doc_id, 1, 24) AS name, -1 AS n FROM documents WHERE doc_id % 2 = 0)
 SELECT name, CAST(n AS INTEGER) AS n FROM old WHERE name NOT IN (SELECT name FROM new) UNION ALL SELECT name, n FROM new""")
 def archive_upsert(spark, d):
     i = F.col("doc_id").cast("string")
     entries = table(spark, d, "documents").select(F.substring(F.concat(F.substring(F.concat(F.lit("entry_of_document_number_"), i), 1, 21), F.lit("_"), i), 1, 24).alias("name"), "doc_id", F.octet_length("text").alias("n"))
-    return export.upsert(entries.where("doc_id % 3 <> 0").select("name", "n"), entries.where("doc_id % 2 = 0").select("name", F.lit(-1).alias("n")))
+    return export.upsert(entries.where("doc_id % 3 <> 0 or doc_id % 2 <> 0").select("name", "n"), entries.where("doc_id % 2 = 0").select("name", F.lit(-1).alias("n")))
 
 
 @query()
