@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 import zlib
@@ -40,6 +41,32 @@ def test_same_ids_as_the_tokenizer():
         assert e(t) == struct.pack(f"<{len(want)}I", *want), repr(t)
 
 
+def test_long_runs():
+    e = op10.Encoder(op10.default_tokenizer())
+    for t in (" " * 300_000, (" " * 999 + "x") * 50, "a" * 100_000, "qzjxkvb" * 10_000, "^-=#" * 20_000, "a\n" * 20_000):
+        assert e(t) == e.direct(t)
+
+
+def test_vocabulary_by_ranks(tmp_path):
+    assert op10.by_ranks(op10.default_tokenizer())
+    with open(op10.default_tokenizer(), encoding="utf-8") as f:
+        model = json.load(f)
+    known = model["model"]["vocab"]
+    bytes_ = {t: k for t, k in known.items() if len(t) == 1}
+    kinds = {}
+    # By its merges, abc of this list is a + bc, but bc comes after ab: joining by ids alone makes ab + c into abc.
+    for name, merges in (("good", [["a", "b"], ["ab", "c"]]), ("bad", [["a", "b"], ["b", "c"], ["a", "bc"]])):
+        model["model"] |= {"vocab": bytes_ | {x + y: 256 + k for k, (x, y) in enumerate(merges)}, "merges": merges}
+        kinds[name] = str(tmp_path / f"{name}.json")
+        with open(kinds[name], "w", encoding="utf-8") as f:
+            json.dump(model, f)
+    assert op10.by_ranks(kinds["good"]) and not op10.by_ranks(kinds["bad"])
+    for path in kinds.values():
+        e = op10.Encoder(path)
+        for t in ("abc", "aabcbc", " abcab", "bcabc"):
+            assert e(t) == e.direct(t)
+
+
 def test_packing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op10, "RANKED", 20)
     r = random.Random(2)
