@@ -69,3 +69,15 @@ def adjust(v: Column, op: str, by: float = 0.0) -> Column:
     x = v.cast("double")
     out = {"invert": 255 - x, "brightness": x + by, "contrast": (x - 128) * by + 128, "intensity": x * by, "gamma": 255 * F.pow(x / 255, F.lit(1 / by if by else 1.0))}[op]
     return F.greatest(F.lit(0), F.least(F.lit(255), F.round(out).cast("int")))
+
+
+def true_color(c: Column, depth: int, to: int) -> Column:
+    """A pixel of 16 (red high), 24 or 32 bits (alpha, red, green, blue) in another depth. Opaque where alpha is new; of equal depths, unchanged."""
+    c = c.cast("long")
+    if depth == to:
+        return c
+    part = lambda at, bits: F.shiftright(c, at).bitwiseAND(F.lit((1 << bits) - 1))
+    if to == 16:
+        return F.shiftleft(part(19, 5), 10).bitwiseOR(F.shiftleft(part(11, 5), 5)).bitwiseOR(part(3, 5))
+    r, g, b = (to8(part(at, 5)).cast("long") for at in (10, 5, 0)) if depth == 16 else (part(at, 8) for at in (16, 8, 0))
+    return F.shiftleft(r, 16).bitwiseOR(F.shiftleft(g, 8)).bitwiseOR(b).bitwiseOR(F.lit(0xFF000000 if to == 32 else 0))

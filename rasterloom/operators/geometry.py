@@ -52,3 +52,10 @@ def block_order(ty: Column, tx: Column, tiles_across: int, block: int = 32) -> C
     across = -(-tiles_across // block)
     n = F.floor(ty / block) * across + F.floor(tx / block)
     return (n * block * block + (ty % block) * block + tx % block).cast("long")
+
+
+def fit_span(lo: Column, hi: Column, size: Column, block: int) -> tuple[Column, Column]:
+    """One side of an area: its ends in order, the image's size for an upper end of 0, and a length up to a multiple of `block`."""
+    first, last = F.least(lo, hi), F.greatest(lo, hi)
+    last = F.when(last == 0, size).otherwise(last)
+    return first, first + F.floor((last - first + block - 1) / block) * block

@@ -27,16 +27,31 @@ def swap(palette: DataFrame, chosen: DataFrame) -> DataFrame:
     return palette.join(to, "palette_id", "left").select("palette_id", F.coalesce(i, "idx").cast("int").alias("idx"), "r", "g", "b")
 
 
-def merge(used: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sliced(palette: DataFrame, start: int, end: int) -> DataFrame:
+    """Entries start to end - 1 of each palette, as far as there are such, numbered from 0. No more than the palette's size are taken."""
+    return palette.where((F.col("idx") >= start) & (F.col("idx") < end)).withColumn("idx", F.col("idx") - start)
+
+
+def merge(used: DataFrame, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One palette from those of several files: palette (idx, r, g, b) of distinct colours in the order of (file, idx), and remap (file, idx, new_idx).
 
-    used: file, idx, r, g, b of the entries in use. More than 256 colours are refused.
+    used: file, idx, r, g, b of the entries in use. start: entries (idx from 0 on without gaps, r, g, b) that come first
+    and keep their places, an external palette or the entry 0 to be kept; of equal ones the lowest counts. More than 256
+    colours are refused.
     """
     first = used.groupBy("r", "g", "b").agg(F.min(F.struct("file", "idx")).alias("f"))
-    n = first.limit(MOST + 1).count()
-    if n > MOST:
+    n = 0
+    if start is not None:
+        n = start.limit(MOST + 1).count()
+        first = first.join(start.select("r", "g", "b").distinct(), ["r", "g", "b"], "left_anti")
+    if n + first.limit(MOST + 1).count() > MOST:
         raise ValueError(f"more than {MOST} colours")
-    merged = first.select((F.row_number().over(Window.orderBy("f")) - 1).cast("int").alias("idx"), "r", "g", "b")  # 256 rows at most
+    merged = first.select((F.row_number().over(Window.orderBy("f")) - 1 + n).cast("int").alias("idx"), "r", "g", "b")  # 256 rows at most
+    if start is not None:
+        known = start.groupBy("r", "g", "b").agg(F.min("idx").cast("int").alias("idx")).select("idx", "r", "g", "b")
+        palette, merged = start.select(F.col("idx").cast("int").alias("idx"), "r", "g", "b").unionByName(merged), known.unionByName(merged)
+        remap = used.join(F.broadcast(merged.withColumnRenamed("idx", "new_idx")), ["r", "g", "b"]).select("file", "idx", "new_idx")
+        return palette, remap
     remap = used.join(F.broadcast(merged.withColumnRenamed("idx", "new_idx")), ["r", "g", "b"]).select("file", "idx", "new_idx")
     return merged, remap
 

@@ -42,6 +42,8 @@ class MapFormat:
         return cls(int(m[1]), **{k: found.get(k, (0, 0)) for k in ("tile", "hflip", "vflip", "bank")}, base=base)
 
 
+#: Tiles of a tileset: map entries have 16 bits at most.
+MOST = 1 << 16
 TEXT = MapFormat()
 AFFINE = MapFormat(8, (0, 8), (0, 0), (0, 0), (0, 0))
 
@@ -62,11 +64,12 @@ def low_nibbles(tile: Column) -> Column:
     return F.transform(tile, lambda p: p.bitwiseAND(F.lit(15)))
 
 
-def reduce(tiles: DataFrame, at: list[str], width: int, height: int, flips: bool = False, banks: bool = False, seed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reduce(tiles: DataFrame, at: list[str], width: int, height: int, flips: bool = False, banks: bool = False, seed: DataFrame | None = None, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """map (at, tile_id, hflip, vflip, bank) and tileset (tile_id, tile) of tiles (at, tile), in the order of `at`.
 
     Without a seed tile 0 is blank. A seed (tile_id, tile; ids 0 to n - 1, repeats allowed) comes first and keeps its
-    ids. A tile matches straight, mirrored across, both ways, then upside down; the lowest id of the first that matches.
+    ids. More than `most` tiles end the query. The order of columns is that of `at`: with tx before ty it goes by columns.
+    A tile matches straight, mirrored across, both ways, then upside down; the lowest id of the first that matches.
     """
     tiles = tiles.select(*at, (low_nibbles(F.col("tile")) if banks else F.col("tile")).alias("tile"), (bank_of(F.col("tile")) if banks else F.lit(0)).alias("bank"))
     forms = [(False, False), *([(True, False), (True, True), (False, True)] if flips else [])]
@@ -79,10 +82,12 @@ def reduce(tiles: DataFrame, at: list[str], width: int, height: int, flips: bool
     seeded = seed.withColumn("key", key)
     first = keyed.groupBy("key").agg(F.min(F.struct(*at, "tile")).alias("f"))
     new = first.join(seeded.select("key").distinct(), "key", "left_anti")
-    # Map entries have 16 bits at most, so a tileset is small whatever the number of tiles; the window sees new tiles alone.
     n = seed.agg((F.coalesce(F.max("tile_id"), F.lit(-1)) + 1).alias("n")).first()["n"]
-    order = Window.orderBy(*[F.col(f"f.{c}") for c in at])
-    fresh = new.select((F.row_number().over(order) - 1 + n).cast("long").alias("tile_id"), F.col("f.tile").alias("tile"), "key")
+    # One task sees the first of the new tiles, one more than there may be.
+    order = [F.col(f"f.{c}") for c in at]
+    rank = F.row_number().over(Window.orderBy(*order)) - 1 + n
+    first = new.orderBy(*order).limit(max(0, most - n) + 1).withColumn("rank", rank.cast("long"))
+    fresh = first.select(F.when(F.col("rank") < most, F.col("rank")).otherwise(F.raise_error(F.lit(f"more than {most} tiles")).cast("long")).alias("tile_id"), F.col("f.tile").alias("tile"), "key")
     tileset = seeded.unionByName(fresh)
     entries = tileset.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("tile_id", "tile"))).alias("entries"))  # as many as a seed repeats or mirrors a tile
     found = keyed.join(entries, "key")
@@ -91,6 +96,13 @@ def reduce(tiles: DataFrame, at: list[str], width: int, height: int, flips: bool
     return found.select(*at, F.col("m.tile_id").alias("tile_id"), F.col("m.k").isin(1, 2).cast("int").alias("hflip"), F.col("m.k").isin(2, 3).cast("int").alias("vflip"), "bank"), tileset.select("tile_id", "tile")
 
 
+def unreduced(tiles: DataFrame, file: str, at: list[str], banks: bool = False) -> DataFrame:
+    """Maps without matching: file, at, tile_id, hflip, vflip, bank, tile. Each tile of a file has an id of its own, from 1 on in the order of `at` (0 is blank)."""
+    bank = bank_of(F.col("tile")) if banks else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(*at)).cast("long")
+    return tiles.select(file, *at, rank.alias("tile_id"), F.lit(0).alias("hflip"), F.lit(0).alias("vflip"), bank.alias("bank"), (low_nibbles(F.col("tile")) if banks else F.col("tile")).alias("tile"))
+
+
 def pack_entry(fmt: MapFormat = TEXT, tile: str = "tile_id", hflip: str = "hflip", vflip: str = "vflip", bank: str = "bank") -> Column:
     """The map entry as an integer; base is added to every entry of 16 bits, and 8-bit ones keep the tile alone."""
     part = lambda c, f: F.shiftleft(F.col(c).cast("long").bitwiseAND(F.lit((1 << f[1]) - 1)), f[0])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, color, names
 from ..operators import codecs, geometry, palettes, tiles
-from ..sources import export
+from ..sources import export, images
 
 SIDE = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,10 +213,13 @@ def _palettes(spark, d) -> DataFrame:
 _PALETTES = f"(SELECT p_partkey // 16 AS palette_id, CAST(p_partkey % 16 AS INTEGER) AS idx, r, g, b FROM {_RGB})"
 
 
-@query(f"WITH {_PX} SELECT vec_id, x, y, r, g, b FROM (SELECT vec_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, b % 16 AS i FROM px) JOIN (SELECT idx AS i, r, g, b FROM {_PALETTES} WHERE palette_id = 0) USING (i)")
+@query(f"WITH {_PX} SELECT vec_id, x, y, r, g, b FROM (SELECT vec_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, b % 16 AS i FROM px) JOIN (SELECT palette_id, idx AS i, r, g, b FROM {_PALETTES}) p USING (i) WHERE palette_id = vec_id % (SELECT max(palette_id) + 1 FROM {_PALETTES})")
 def palette_lookup(spark, d):
-    px = rasters(spark, d, "byte").select("vec_id", F.posexplode("px").alias("k", "v")).select("vec_id", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), (F.col("v") % 16).alias("idx"))
-    return px.join(F.broadcast(_palettes(spark, d).where("palette_id = 0")), "idx").select("vec_id", "x", "y", "r", "g", "b")  # 16 rows
+    """Each raster with one of all palettes."""
+    palettes_ = _palettes(spark, d)
+    n = palettes_.agg(F.max("palette_id") + 1).first()[0] or 1
+    px = rasters(spark, d, "byte").select("vec_id", (F.col("vec_id") % n).alias("palette_id"), F.posexplode("px").alias("k", "v")).select("vec_id", "palette_id", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), (F.col("v") % 16).alias("idx"))
+    return px.join(palettes_, ["palette_id", "idx"]).select("vec_id", "x", "y", "r", "g", "b")
 
 
 _NEAREST = f"SELECT palette_id, idx, d2 FROM (SELECT palette_id, idx, CAST((r - 248) * (r - 248) + g * g + (b - 248) * (b - 248) AS BIGINT) AS d2, row_number() OVER (PARTITION BY palette_id ORDER BY (r - 248) * (r - 248) + g * g + (b - 248) * (b - 248), idx) AS k FROM {_PALETTES}) WHERE k = 1 AND d2 < 576"
@@ -243,6 +246,79 @@ def palette_merge(spark, d):
     return palettes.merge(used)[1]
 
 
+@query(f"""WITH used AS {_USED}, start AS (SELECT * FROM (VALUES (0, 4, 5, 3), (1, 1, 1, 1), (2, 1, 1, 1), (3, 9, 9, 9)) AS s(idx, r, g, b)),
+fresh AS (SELECT r, g, b, min((file, idx)) AS f FROM used ANTI JOIN start USING (r, g, b) GROUP BY r, g, b),
+merged AS (SELECT r, g, b, 3 + row_number() OVER (ORDER BY f) AS i FROM fresh UNION ALL SELECT r, g, b, min(idx) FROM start GROUP BY r, g, b)
+SELECT file, idx, CAST(i AS INTEGER) AS new_idx FROM used JOIN merged USING (r, g, b)""")
+def palette_merge_external(spark, d):
+    """Merging that starts from an external palette, one of whose colours stands there twice."""
+    k = F.col("p_partkey")
+    used = table(spark, d, "part").select(F.floor(k / 16).cast("long").alias("file"), (k % 16).cast("int").alias("idx"), (k * 37 % 5).cast("int").alias("r"), (k * 91 % 6).cast("int").alias("g"), (k * 53 % 4).cast("int").alias("b"))
+    start = spark.createDataFrame([(0, 4, 5, 3), (1, 1, 1, 1), (2, 1, 1, 1), (3, 9, 9, 9)], "idx int, r int, g int, b int")
+    return palettes.merge(used, start)[1]
+
+
+@query(f"SELECT palette_id, CAST(idx - 3 AS INTEGER) AS idx, CAST(r // 8 + g // 8 * 32 + b // 8 * 1024 AS INTEGER) AS c FROM {_PALETTES} WHERE idx BETWEEN 3 AND 11")
+def palette_slice(spark, d):
+    """Entries 3 to 11 of each palette as device colours."""
+    return palettes.sliced(_palettes(spark, d), 3, 12).select("palette_id", "idx", color.rgb555(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+
+
+_DEPTHS = "SELECT p_partkey, w % 32768 AS h, w % 16777216 AS t, w AS q FROM (SELECT p_partkey, p_partkey * 2654435761 % 4294967296 AS w FROM part)"
+
+
+@query(f"""WITH s AS ({_DEPTHS}), e AS (SELECT *, h // 1024 * 255 // 31 * 65536 + h // 32 % 32 * 255 // 31 * 256 + h % 32 * 255 // 31 AS up FROM s)
+SELECT p_partkey, up AS c16_24, up + 4278190080 AS c16_32, t // 524288 * 1024 + t // 2048 % 32 * 32 + t // 8 % 32 AS c24_16, t + 4278190080 AS c24_32, q // 524288 % 32 * 1024 + q // 2048 % 32 * 32 + q // 8 % 32 AS c32_16, q % 16777216 AS c32_24, q AS c32_32 FROM e""")
+def true_color_depths(spark, d):
+    w = F.col("p_partkey") * 2654435761 % 4294967296
+    of = {16: w % 32768, 24: w % 16777216, 32: w}
+    pairs = [(16, 24), (16, 32), (24, 16), (24, 32), (32, 16), (32, 24), (32, 32)]
+    return table(spark, d, "part").select("p_partkey", *[color.true_color(of[a], a, b).alias(f"c{a}_{b}") for a, b in pairs])
+
+
+@query("WITH " + _TILES.format(v="v") + """,
+first AS (SELECT a, b, c, d, min((vec_id, tx, ty)) AS f FROM tiles WHERE a + b + c + d > 0 GROUP BY a, b, c, d),
+ids AS (SELECT a, b, c, d, row_number() OVER (ORDER BY f) AS id FROM first UNION ALL SELECT 0, 0, 0, 0, 0)
+SELECT vec_id, ty, tx, CAST(id AS BIGINT) AS tile_id FROM tiles JOIN ids USING (a, b, c, d)""")
+def tile_dedup_colmajor(spark, d):
+    return tiles.reduce(subtiles(spark, d), ["vec_id", "tx", "ty"], 2, 2)[0].select(*AT, "tile_id")
+
+
+@query("WITH " + _TILES.format(v="b") + """
+SELECT vec_id, ty, tx, CAST(ty * 4 + tx + 1 AS BIGINT) AS tile_id, CAST(CASE WHEN a % 16 <> 0 THEN a // 16 WHEN b % 16 <> 0 THEN b // 16 WHEN c % 16 <> 0 THEN c // 16 WHEN d % 16 <> 0 THEN d // 16 ELSE 0 END AS INTEGER) AS bank,
+  concat_ws(',', a % 16, b % 16, c % 16, d % 16) AS px FROM tiles""")
+def tilemap_unreduced(spark, d):
+    out = tiles.unreduced(subtiles(spark, d, "byte"), "vec_id", ["ty", "tx"], banks=True)
+    return out.select(*AT, "tile_id", F.col("bank").cast("int").alias("bank"), F.array_join("tile", ",").alias("px"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, lo, CAST(lo + (CASE WHEN hi = 0 THEN 240 ELSE hi END - lo + 15) // 16 * 16 AS BIGINT) AS hi FROM
+(SELECT l_orderkey, l_linenumber, least(l_partkey % 50, l_suppkey % 50) AS lo, greatest(l_partkey % 50, l_suppkey % 50) AS hi FROM lineitem)""")
+def area_fit(spark, d):
+    lo, hi = geometry.fit_span(F.col("l_partkey") % 50, F.col("l_suppkey") % 50, F.lit(240), 16)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", lo.alias("lo"), hi.cast("long").alias("hi"))
+
+
+def _image(kind: str) -> None:
+    def run(spark, d):
+        two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+        rgb = lambda v: F.concat(two(v), two(255 - v), two(F.shiftright(v, 1)))
+        forms = F.array(*[F.struct(F.lit(n).alias("bpp"), F.unhex(F.array_join(F.transform("px", f), "")).alias("data")) for n, f in ((8, two), (24, rgb))])
+        palette = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.struct((i * 37 % 256).alias("r"), (255 - i).alias("g"), (i * 91 % 256).alias("b")))
+        made = rasters(spark, d, "byte").select("vec_id", F.explode(forms).alias("f")).select(F.concat("vec_id", F.lit("-"), "f.bpp").alias("image_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), "f.bpp", F.when(F.col("f.bpp") == 8, palette).otherwise(F.slice(palette, 1, 0)).alias("palette"), "f.data")
+        back = images.decoded(images.encoded(made, kind))
+        c = F.get("palette", F.conv(F.substring(F.hex("data"), 1, 2), 16, 10).cast("int"))
+        return back.select(F.regexp_extract("image_id", r"^(\d+)-", 1).cast("long").alias("vec_id"), "width", "height", "bpp", F.hex("data").alias("data"), *[c[x].alias(x) for x in "rgb"])
+
+    run.__name__ = f"image_{kind}_roundtrip"
+    query("WITH " + _PX + """, f AS (SELECT vec_id, string_agg(printf('%02X', b), '' ORDER BY y, x) AS one, string_agg(printf('%02X%02X%02X', b, 255 - b, b // 2), '' ORDER BY y, x) AS three, min(CASE WHEN x = 0 AND y = 0 THEN b END) AS i FROM px GROUP BY vec_id)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, 8 AS width, 8 AS height, 8 AS bpp, one AS data, CAST(i * 37 % 256 AS INTEGER) AS r, CAST(255 - i AS INTEGER) AS g, CAST(i * 91 % 256 AS INTEGER) AS b FROM f UNION ALL SELECT vec_id, 8, 8, 24, three, NULL, NULL, NULL FROM f""")(run)
+
+
+for _name in images.ENCODERS:
+    _image(_name)
+
+
 @query()
 def quantize(spark, d):
     hist = _colors(spark, d).groupBy("r", "g", "b").agg(F.count("*").alias("count"))

@@ -206,19 +206,94 @@ def write_bmp(r: Raster) -> bytes:
     return head + table + rows[::-1].tobytes()
 
 
-SCHEMA = "image_id string, width int, height int, bpp int, palette array<struct<r:int,g:int,b:int>>, data binary"
+def _pixels(r: Raster) -> np.ndarray:
+    """height, width, bytes of a pixel."""
+    return np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 1 if r.bpp <= 8 else r.bpp // 8)
+
+
+def _entries(r: Raster) -> bytes:
+    """256 entries of a palette, missing ones black."""
+    return b"".join(bytes(c) for c in r.palette).ljust(768, b"\0")[:768]
+
+
+def write_png(r: Raster) -> bytes:
+    """8-bit indexed, 24-bit or 32-bit PNG; lines without a filter."""
+    px = _pixels(r)
+    lines = np.zeros((r.height, 1 + r.width * px.shape[2]), np.uint8)
+    lines[:, 1:] = px.reshape(r.height, -1)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", r.width, r.height, 8, {1: 3, 3: 2, 4: 6}[px.shape[2]], 0, 0, 0))]
+    if px.shape[2] == 1:
+        parts.append((b"PLTE", b"".join(bytes(c) for c in r.palette[:256])))
+    parts += [(b"IDAT", zlib.compress(lines.tobytes())), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d)) for n, d in parts)
+
+
+def write_pcx(r: Raster) -> bytes:
+    """8-bit PCX, or one of three planes; runs of at most 63 within a line of a plane. An alpha channel isn't kept."""
+    px = _pixels(r)[:, :, :3]
+    planes, pitch = px.shape[2], r.width + r.width % 2
+    rows = np.zeros((r.height, planes, pitch), np.uint8)
+    rows[:, :, : r.width] = px.transpose(0, 2, 1)
+    out = bytearray()
+    for line in rows.reshape(-1, pitch):
+        starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        for v, n in zip(line[starts].tolist(), np.diff(np.r_[starts, pitch]).tolist(), strict=True):
+            while n:
+                k = min(n, 63)
+                out += bytes((0xC0 | k, v)) if k > 1 or v >= 0xC0 else bytes((v,))
+                n -= k
+    head = struct.pack("<BBBBHHHHHH48sBBHH58x", 10, 5, 1, 8, 0, 0, r.width - 1, r.height - 1, 72, 72, _entries(r)[:48], 0, planes, pitch, 1)
+    return head + bytes(out) + (b"\x0c" + _entries(r) if planes == 1 else b"")
+
+
+def write_tga(r: Raster) -> bytes:
+    """8-bit mapped, 24-bit or 32-bit TGA, from the top, uncompressed."""
+    px = _pixels(r)
+    depth = px.shape[2]
+    table = b"" if depth > 1 else b"".join(bytes((b, g, red)) for red, g, b in r.palette[:256])
+    px = px if depth == 1 else px[:, :, [2, 1, 0, 3][:depth]]
+    return struct.pack("<BBBHHBHHHHBB", 0, depth == 1, 1 if depth == 1 else 2, 0, len(table) // 3, 24 if table else 0, 0, 0, r.width, r.height, 8 * depth, 0x20 | (8 if depth == 4 else 0)) + table + px.tobytes()
+
+
+def write_clr(palette: list[tuple[int, int, int]]) -> bytes:
+    return b"".join(bytes((*c, 0)) for c in palette)
+
+
+ENCODERS = {"bmp": write_bmp, "pcx": write_pcx, "tga": write_tga, "png": write_png}
+SCHEMA = "image_id string, width int, height int, bpp int, palette array<struct<r:int,g:int,b:int>>, data binary, error string"
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for path, content in zip(b["path"], b["content"], strict=True):
-            r = DECODERS[path.rsplit(".", 1)[-1].lower()](bytes(content))
-            rows.append((path, r.width, r.height, r.bpp, [{"r": int(x[0]), "g": int(x[1]), "b": int(x[2])} for x in r.palette], r.data))
-        yield pd.DataFrame(rows, columns=["image_id", "width", "height", "bpp", "palette", "data"])
+            try:
+                r = DECODERS[path.rsplit(".", 1)[-1].lower()](bytes(content))
+            except (ValueError, KeyError, IndexError, struct.error, zlib.error, UnboundLocalError) as e:  # what damaged bytes raise in the decoders
+                rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                continue
+            rows.append((path, r.width, r.height, r.bpp, [{"r": int(x[0]), "g": int(x[1]), "b": int(x[2])} for x in r.palette], r.data, None))
+        yield pd.DataFrame(rows, columns=["image_id", "width", "height", "bpp", "palette", "data", "error"]).astype({c: "Int32" for c in ("width", "height", "bpp")})
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """A row for each file (path, content), by its extension. One that can't be decoded has its reason in `error`, and nulls."""
+    return files.select("path", "content").mapInPandas(_decode, SCHEMA)
+
+
+def encoded(images: DataFrame, kind: str) -> DataFrame:
+    """path (image_id and the extension) and content of each image, as files of one kind."""
+    write = ENCODERS[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = zip(b["image_id"], b["width"], b["height"], b["bpp"], b["palette"], b["data"], strict=True)
+            yield pd.DataFrame([(f"{i}.{kind}", write(Raster(int(w), int(h), int(n), [(c["r"], c["g"], c["b"]) for c in p], bytes(x)))) for i, w, h, n, p, x in rows], columns=["path", "content"])
+
+    return images.select("image_id", "width", "height", "bpp", "palette", "data").mapInPandas(run, "path string, content binary")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each image file under path, by its extension."""
+    """A row for each image file under path, as of decoded()."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{bmp,pcx,tga,png}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(_decode, SCHEMA)
+    return decoded(files)

@@ -91,3 +91,27 @@ def test_map_formats():
     for bad in ("12:i8", "16:i17", "x", "8:p4i8"):
         with pytest.raises(ValueError):
             MapFormat.parse(bad)
+
+
+def test_written_files_and_damaged_ones(spark):
+    r, t = raster(8), raster(24)
+    for kind in images.ENCODERS:
+        for x in (r, t):
+            assert images.DECODERS[kind](images.ENCODERS[kind](x)) == x
+    assert images.palette_file(images.write_clr(PAL)) == PAL
+    rows = [("a.png", images.write_png(r)), ("b.png", images.write_png(r)[:60]), ("c.bmp", b"no"), ("d.xyz", b""), ("e.tga", b""), ("f.pcx", b"\x0a")]
+    out = {x.image_id: x for x in images.decoded(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert len(out) == 6 and out["a.png"].error is None and bytes(out["a.png"].data) == r.data
+    assert all(out[p].error and out[p].data is None for p, _ in rows[1:])
+
+
+def test_limits_are_refused(spark):
+    from rasterloom.operators import palettes, tiles
+
+    some = spark.range(1, 9).selectExpr("id AS at", "array(cast(id AS int)) AS tile")
+    assert tiles.reduce(some, ["at"], 1, 1, most=9)[1].count() == 9
+    with pytest.raises(Exception, match="more than 8 tiles"):
+        tiles.reduce(some, ["at"], 1, 1, most=8)[0].collect()
+    used = spark.range(300).selectExpr("0 AS file", "id AS idx", "int(id) AS r", "0 AS g", "0 AS b")
+    with pytest.raises(ValueError, match="colours"):
+        palettes.merge(used.where("idx < 200"), used.where("idx >= 200").selectExpr("int(idx - 200) AS idx", "r", "g", "1 AS b"))
