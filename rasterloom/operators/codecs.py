@@ -1,7 +1,7 @@
 """Compression of payloads for small devices: header only, run lengths, LZ77 and Huffman, and their inverses.
 
 Streams begin with a tag byte and the payload's size in 24 bits (little-endian), and are padded with zeros to a
-multiple of four. Larger payloads are refused. The codecs work on Arrow batches.
+multiple of four. Larger payloads have no stream: the functions refuse them, the columns are null. The codecs work on Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ LIMIT = 1 << 24
 RUN_LEAST, RUN_MOST, LITERAL_MOST = 3, 130, 128
 WINDOW, MATCH_LEAST, MATCH_MOST, DISTANCE_LEAST = 4096, 3, 18, 2
 TREE_BYTES = 512
-#: Earlier places that a match is looked for at.
-TRIES = 24
+#: Longest code that is decoded by a table, bytes of a stream that are looked up at once.
+LOOKED_UP, BLOCK = 20, 1 << 16
 _RUNS = re.compile(rb"(.)\1{2,129}", re.S)
 
 
@@ -81,42 +82,42 @@ def rle_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _longest(raw: bytes, at: int, most: int) -> tuple[int, int]:
+    """Length and place of the longest match in the window, the earliest of equal ones; (0, 0) if there is none. Only searches for longer ones go on."""
+    best, where, k = 0, 0, MATCH_LEAST
+    if most < k:
+        return 0, 0
+    p = raw.find(raw[at : at + k], max(0, at - WINDOW), at - DISTANCE_LEAST + k)
+    while p >= 0:
+        while k < most and raw[p + k] == raw[at + k]:
+            k += 1
+        best, where = k, p
+        if k == most:
+            break
+        k += 1
+        p = raw.find(raw[at : at + k], p + 1, at - DISTANCE_LEAST + k)
+    return best, where
+
+
 def lz_encode(raw: bytes) -> bytes:
-    """Greedy matching over chains of places with the same three bytes."""
+    """Greedy matching over the whole window."""
     out, n, at = bytearray(_header(LZ77, len(raw))), len(raw), 0
-    chains: dict[bytes, list[int]] = {}
     while at < n:
         flag_at, flags = len(out), 0
         out.append(0)
         for bit in range(7, -1, -1):
             if at >= n:
                 break
-            best, where = 0, 0
-            places = chains.get(raw[at : at + 3])
-            if places:
-                most = min(MATCH_MOST, n - at)
-                for p in places[: -TRIES - 1 : -1]:
-                    if at - p > WINDOW:
-                        break
-                    if at - p < DISTANCE_LEAST or raw[p + best : p + best + 1] != raw[at + best : at + best + 1]:
-                        continue
-                    k = 3
-                    while k < most and raw[p + k] == raw[at + k]:
-                        k += 1
-                    if k > best and k <= most:
-                        best, where = k, p
-                        if k == most:
-                            break
-            if best >= MATCH_LEAST:
+            best, where = _longest(raw, at, min(MATCH_MOST, n - at))
+            if best:
                 d = at - where - 1
-                out += bytes([(best - MATCH_LEAST) << 4 | d >> 8, d & 255])
+                out.append((best - MATCH_LEAST) << 4 | d >> 8)
+                out.append(d & 255)
                 flags |= 1 << bit
+                at += best
             else:
                 out.append(raw[at])
-                best = 1
-            for k in range(at, min(at + best, n - 2)):
-                chains.setdefault(raw[k : k + 3], []).append(k)
-            at += best
+                at += 1
         out[flag_at] = flags
     return _padded(bytes(out))
 
@@ -141,15 +142,26 @@ def lz_tokens(data: bytes) -> Iterator[tuple[int, int]]:
 
 
 def lz_decode(data: bytes) -> bytes:
-    out = bytearray()
-    for length, x in lz_tokens(data):
-        if not length:
-            out.append(x)
-        elif x >= length:
-            out += out[len(out) - x : len(out) - x + length]
-        else:
-            for _ in range(length):
-                out.append(out[-x])
+    _, n = _body(data, LZ77)
+    out, at = bytearray(), 4
+    while len(out) < n:
+        flags = data[at]
+        at += 1
+        if not flags:
+            out += data[at : at + min(8, n - len(out))]
+            at += 8
+            continue
+        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
+            if not flags & bit:
+                out.append(data[at])
+                at += 1
+            else:
+                length, d = (data[at] >> 4) + MATCH_LEAST, ((data[at] & 15) << 8 | data[at + 1]) + 1
+                part = out[-d : len(out) - d + length]
+                out += part if d >= length else (part * (length // d + 1))[:length]
+                at += 2
+            if len(out) >= n:
+                break
     return bytes(out)
 
 
@@ -175,14 +187,14 @@ def _laid_out(tree: tuple) -> bytes | None:
     """
     size = lambda t: 1 + size(t[0]) + size(t[1]) if isinstance(t, tuple) else 0
     out: list[int] = [0]
-    waiting = [(0, tree)]
+    waiting = [(0, tree, size(tree))]
     while waiting:
         pairs = len(out) // 2  # number of the next pair
         waiting.sort(key=lambda w: w[0])
         reach = [64 - (pairs - w[0] // 2 - (w[0] % 2)) for w in waiting]
         urgent = next((k for k, r in enumerate(reach) if r <= len(waiting) + 1), None)
-        k = urgent if urgent is not None else min(range(len(waiting)), key=lambda k: (size(waiting[k][1]), waiting[k][0]))
-        at, node = waiting.pop(k)
+        k = urgent if urgent is not None else min(range(len(waiting)), key=lambda k: (waiting[k][2], waiting[k][0]))
+        at, node, _ = waiting.pop(k)
         first = len(out) + (len(out) + 1) % 2 if at else 1
         offset = (first + 1 - (((at + 1) & ~1) + 2)) // 2
         if not 0 <= offset < 64:
@@ -190,18 +202,22 @@ def _laid_out(tree: tuple) -> bytes | None:
         out[at] = offset | (0 if isinstance(node[0], tuple) else 0x80) | (0 if isinstance(node[1], tuple) else 0x40)
         for side in node:
             if isinstance(side, tuple):
-                waiting.append((len(out), side))
+                waiting.append((len(out), side, size(side)))
                 out.append(0)
             else:
                 out.append(side)
     return bytes(out)
 
 
-def _huffman(raw: bytes, bits: int) -> bytes | None:
-    symbols = raw if bits == 8 else bytes(x for b in raw for x in (b & 15, b >> 4))
-    if not symbols:
-        return _padded(_header(HUFF8 if bits == 8 else HUFF4, 0) + b"\xff" + bytes(TREE_BYTES - 1))
-    tree = _tree(Counter(symbols))
+def _nibbles(raw: bytes) -> bytes:
+    """The lower half of each byte, then the upper one."""
+    b = np.frombuffer(raw, np.uint8)
+    return np.stack([b & 15, b >> 4], axis=1).tobytes()
+
+
+def _codes(counts: Counter) -> tuple[bytes, dict[int, str]] | None:
+    """The tree's bytes and the code of each symbol; None if the tree can't be laid out."""
+    tree = _tree(counts)
     laid = _laid_out(tree)
     if laid is None or len(laid) > TREE_BYTES - 1:
         return None
@@ -213,41 +229,90 @@ def _huffman(raw: bytes, bits: int) -> bytes | None:
             stack += [(t[0], code + "0"), (t[1], code + "1")]
         else:
             codes.setdefault(t, code)
-    text = "".join(map(codes.__getitem__, symbols))
-    text += "0" * (-len(text) % 32)
-    words = int(text, 2).to_bytes(len(text) // 8, "big")
-    words = b"".join(words[k : k + 4][::-1] for k in range(0, len(words), 4))
-    return _header(HUFF8 if bits == 8 else HUFF4, len(raw)) + b"\xff" + laid + bytes(TREE_BYTES - 1 - len(laid)) + words
+    return laid, codes
 
 
 def huffman_encode(raw: bytes) -> bytes:
-    """Symbols of 4 or of 8 bits: the shorter stream, the latter if both are as long."""
-    four, eight = _huffman(raw, 4), _huffman(raw, 8)
-    if eight is None or four is not None and len(four) < len(eight):
-        return four
-    return eight
+    """Symbols of 4 or of 8 bits: the shorter stream, the latter if both are as long. Only that one is made."""
+    head = _header(HUFF8, len(raw))
+    if not raw:
+        return _padded(head + b"\xff" + bytes(TREE_BYTES - 1))
+    found = []
+    for tag, symbols in ((HUFF8, raw), (HUFF4, _nibbles(raw))):
+        counts = Counter(symbols)
+        if made := _codes(counts):
+            found.append((-(-sum(n * len(made[1][v]) for v, n in counts.items()) // 32), -tag, symbols, *made))
+    _, tag, symbols, laid, codes = min(found, key=lambda f: f[:2])
+    text = "".join(map(codes.__getitem__, symbols))
+    text += "0" * (-len(text) % 32)
+    words = np.frombuffer(int(text, 2).to_bytes(len(text) // 8, "big"), ">u4").astype("<u4").tobytes()
+    return bytes([-tag]) + head[1:] + b"\xff" + laid + bytes(TREE_BYTES - 1 - len(laid)) + words
 
 
-def huffman_decode(data: bytes) -> bytes:
-    tag, n = _body(data, HUFF4, HUFF8)
-    tree = data[5 : 4 + 2 * (data[4] + 1)]
-    bits = tag & 15
-    need, out, node = n * 8 // bits, bytearray(), 0
-    body = data[4 + 2 * (data[4] + 1) :]
+def _leaves(tree: bytes) -> list[tuple[int, int]]:
+    """Symbol and code length of the leaves, from the code of zeros to that of ones."""
+    out, stack = [], [(0, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node < 0:
+            out.append((tree[-node], depth))
+            continue
+        first = ((node + 1) & ~1) + 2 * (tree[node] & 63) + 1
+        stack += [(-first - 1 if tree[node] & 0x40 else first + 1, depth + 1), (-first if tree[node] & 0x80 else first, depth + 1)]
+    return out
+
+
+def _symbols(tree: bytes, body: bytes, need: int) -> bytes:
+    """Bit by bit."""
+    out, node = bytearray(), 0
     for k in range(0, len(body), 4):
         word = int.from_bytes(body[k : k + 4], "little")
         for bit in range(31, -1, -1):
             if len(out) == need:
                 break
             side = word >> bit & 1
-            leaf = tree[node] & (0x40 if side else 0x80)
             child = ((node + 1) & ~1) + 2 * (tree[node] & 63) + 1 + side
-            if leaf:
+            if tree[node] & (0x40 if side else 0x80):
                 out.append(tree[child])
                 node = 0
             else:
                 node = child
-    return bytes(out) if bits == 8 else bytes(a | b << 4 for a, b in zip(out[::2], out[1::2], strict=True))
+    return bytes(out)
+
+
+def huffman_decode(data: bytes) -> bytes:
+    """What starts at each bit is looked up for all bits at once, then followed from code to code."""
+    tag, n = _body(data, HUFF4, HUFF8)
+    if not n:
+        return b""
+    tree, body = data[5 : 4 + 2 * (data[4] + 1)], data[4 + 2 * (data[4] + 1) :]
+    bits, leaves = tag & 15, _leaves(tree)
+    need, longest = n * 8 // bits, max(depth for _, depth in leaves)
+    if longest > LOOKED_UP:
+        out = _symbols(tree, body, need)
+    else:
+        symbol, depth = (np.array(x, np.int64) for x in zip(*leaves, strict=True))
+        table = np.repeat(np.arange(len(leaves)), 1 << (longest - depth))
+        parts, at = [], 0
+        stream = np.frombuffer(body[: len(body) // 4 * 4], "<u4").astype(">u4").tobytes() + bytes(4)
+        for begin in range(0, len(stream) - 4, BLOCK):  # some bytes at a time: a bit takes 16 bytes here
+            b = np.frombuffer(stream[begin : begin + BLOCK + 4], np.uint8).astype(np.int64)
+            four = b[:-4] << 24 | b[1:-3] << 16 | b[2:-2] << 8 | b[3:-1]
+            leaf = table[(four[:, None] >> (32 - longest - np.arange(8)) & ((1 << longest) - 1)).ravel()]
+            after = (np.arange(len(leaf)) + depth[leaf]).tolist()
+            places, end, left = [], len(after), need - sum(map(len, parts))
+            while at < end and len(places) < left:
+                places.append(at)
+                at = after[at]
+            at -= end
+            parts.append(symbol[leaf[places]].astype(np.uint8).tobytes())
+            if len(places) == left:
+                break
+        out = b"".join(parts)
+    if bits == 8:
+        return out
+    b = np.frombuffer(out, np.uint8)
+    return (b[::2] | b[1::2] << 4).tobytes()
 
 
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {"store": (store, unstore), "rle": (rle_encode, rle_decode), "lz77": (lz_encode, lz_decode), "huffman": (huffman_encode, huffman_decode)}
@@ -259,22 +324,22 @@ def decode_any(data: bytes) -> bytes:
     return _BY_TAG[data[0]](data)
 
 
-def _each(f: Callable[[bytes], bytes]):
+def _each(f: Callable[[bytes], bytes], limit: int | None = None):
     @F.pandas_udf("binary")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else f(bytes(v)))
+        return x.map(lambda v: None if v is None or limit and len(v) >= limit else f(bytes(v)))
 
     return run
 
 
 def encode(data: Column, codec: str) -> Column:
-    """The stream of each payload; header only is a plain column expression."""
+    """The stream of each payload, null for one of 16 MiB or more; header only is a plain column expression."""
     if codec == "store":
         n = F.octet_length(data)
         size = F.lpad(F.hex(n), 6, "0")
         head = F.unhex(F.concat(F.lit("00"), F.substring(size, 5, 2), F.substring(size, 3, 2), F.substring(size, 1, 2)))
-        return F.when(n < LIMIT, F.concat(head, data, F.unhex(F.repeat(F.lit("00"), (F.pmod(-n, F.lit(4))).cast("int"))))).otherwise(F.raise_error(F.lit("payload too large for a 24-bit size")))
-    return _each(CODECS[codec][0])(data)
+        return F.when(n < LIMIT, F.concat(head, data, F.unhex(F.repeat(F.lit("00"), (F.pmod(-n, F.lit(4))).cast("int")))))
+    return _each(CODECS[codec][0], LIMIT)(data)
 
 
 def decode(data: Column) -> Column:

@@ -50,3 +50,31 @@ def test_columns(spark):
         assert got == {1: (8, b"aaaaaaab"), 2: (0, b""), 3: (0, b"")}
     same = df.where("t is not null").select(codecs.encode(df.t.cast("binary"), "store").alias("a"), "t").collect()
     assert all(bytes(r.a) == codecs.store(r.t.encode()) for r in same)
+
+
+def test_long_codes_and_blocks(monkeypatch):
+    r = random.Random(5)
+    steps = b"".join(bytes([k]) * n for k, n in enumerate((1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377)))
+    for p in (steps, bytes(r.choice(steps) for _ in range(4000)), b"A" * 999, r.randbytes(700)):
+        packed = codecs.huffman_encode(p)
+        for most, block in ((20, 8), (20, 1 << 16), (3, 8)):
+            monkeypatch.setattr(codecs, "LOOKED_UP", most)
+            monkeypatch.setattr(codecs, "BLOCK", block)
+            assert codecs.huffman_decode(packed) == p
+
+
+def test_longest_match_of_the_window():
+    r = random.Random(6)
+    for _ in range(300):
+        raw, at = bytes(r.choice(b"ab") for _ in range(60)), r.randrange(2, 57)
+        most = min(18, 60 - at)
+        same = lambda p: next((k for k in range(most) if raw[p + k] != raw[at + k]), most)
+        want = max((same(p) for p in range(at - 1)), default=0)
+        assert codecs._longest(raw, at, most)[0] == (want if want >= 3 else 0)
+
+
+def test_payloads_too_large_have_no_stream(spark):
+    df = spark.range(2).selectExpr("id", "repeat('a', if(id = 0, 16777216, 5)) AS t")
+    for name in codecs.CODECS:
+        got = {x.id: x.decoded for x in codecs.roundtrip(df, "id", "t", name).collect()}
+        assert got[0] is None and bytes(got[1]) == b"aaaaa"
