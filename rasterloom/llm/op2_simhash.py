@@ -69,12 +69,13 @@ def _tables(fps: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, Column
 def within(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """fp, n_near: for each distinct fingerprint of queries, how many other distinct ones of fps lie within the radius, by the same tables.
 
-    A common block key has few queries for many fingerprints, and Spark splits its partition on the larger side.
+    A common block key has few queries for many fingerprints, and Spark splits its partition on the larger side. The tables
+    are merged, not broadcast: Spark judges by the fingerprints' size before their rows are made twenty of.
     """
     own, first = _tables(queries, radius, blocks)
     other = _tables(fps, radius, blocks)[0].select(F.col("fp").alias("other"), F.col("t").alias("t2"), F.col("key").alias("key2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    found = own.join(other, (F.col("key") == F.col("key2")) & (F.col("t") == F.col("t2")) & (F.col("fp") != F.col("other")) & near & (F.col("t") == first))
+    found = own.hint("merge").join(other, (F.col("key") == F.col("key2")) & (F.col("t") == F.col("t2")) & (F.col("fp") != F.col("other")) & near & (F.col("t") == first))
     return found.groupBy("fp").agg(F.count("*").alias("n_near"))
 
 

@@ -71,3 +71,11 @@ def test_counts_of_a_query_set_against_brute_force(spark):
     want = {a: n for a in asked if (n := sum(a != b and near(a, b) for b in set(fps)))}
     make = lambda x: spark.createDataFrame([(f,) for f in x], "fp long")
     assert {x.fp: x.n_near for x in op2.within(make(asked), make(fps)).collect()} == want
+
+
+def test_the_tables_of_a_query_set_are_not_broadcast(spark):
+    fps = spark.range(200).selectExpr("explode(array(xxhash64(id), xxhash64(id) ^ 5)) as fp")
+    found = op2.within(fps.where("pmod(fp, 20) < 2"), fps)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
