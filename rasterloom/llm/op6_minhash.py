@@ -150,9 +150,21 @@ def _smaller(met: DataFrame) -> DataFrame:
     return first.select("u", "v", "whole", "parts", "far_first", "any_first", each).select(F.xxhash64("u", "part").alias("key"), F.col("v").alias("node"), (rank <= F.col("far_first")).alias("far"), (rank <= F.col("any_first")).alias("any"), "parts", rank.alias("rank"), "whole")
 
 
+def _met_in_buckets(rest: DataFrame) -> DataFrame:
+    """Pairs (u, v), u the lesser, of rows of one key: one that is far and one that is any. A pair of which either could be either comes once a key, not twice."""
+    own = ["node", "far", "any", "parts", "rank", "whole"]
+    a = rest.where("far").select("key", *[F.col(x).alias(f"u_{x}") for x in own])
+    b = rest.where("`any`").select("key", *[F.col(x).alias(f"v_{x}") for x in own])
+    # The parts shared, at most from the rank of the first on, against those that near texts of these sizes share.
+    shared = 1 + F.least(F.col("u_parts") - F.col("u_rank"), F.col("v_parts") - F.col("v_rank"))
+    able = 18 * shared >= 9 * (F.col("u_parts") + F.col("v_parts")) - F.col("u_whole") - F.col("v_whole")
+    once = F.when(F.col("u_any") & F.col("v_far"), F.col("u_node") < F.col("v_node")).otherwise(F.col("u_node") != F.col("v_node"))
+    return a.join(b, (a.key == b.key) & once & able).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
+
+
 def _links(members: DataFrame, texts: DataFrame, registers: int) -> list[DataFrame]:
     """Written tables of links (u, v) between the nodes of buckets (key, node, n: their number), which connect whatever the buckets' near pairs do."""
-    links, own = [], ["node", "parts", "rank", "whole"]
+    links = []
     for turn in range(ROUNDS):
         weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
         chosen = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
@@ -170,13 +182,7 @@ def _links(members: DataFrame, texts: DataFrame, registers: int) -> list[DataFra
         open_ = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("far").alias("some")).where("n > 1 and some").drop("some")
         rest, old = written(rest.join(open_, "key"), "open"), rest
         few = F.lit(turn == ROUNDS - 1) | (F.col("n") <= F.when(F.col("whole") > 0, MANY).otherwise(SMALL))
-        some = rest.where(few)
-        a = some.where("far").select("key", *[F.col(x).alias(f"u_{x}") for x in own])
-        b = some.where("`any`").select("key", *[F.col(x).alias(f"v_{x}") for x in own])
-        # The parts shared, at most from the rank of the first on, against those that near texts of these sizes share.
-        shared = 1 + F.least(F.col("u_parts") - F.col("u_rank"), F.col("v_parts") - F.col("v_rank"))
-        able = 18 * shared >= 9 * (F.col("u_parts") + F.col("v_parts")) - F.col("u_whole") - F.col("v_whole")
-        pairs = a.join(b, (a.key == b.key) & (F.col("u_node") != F.col("v_node")) & able).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+        pairs = _met_in_buckets(rest.where(few)).distinct()
         more = written(_met(pairs.withColumn("big", F.lit(False)), texts, registers).where("near").select("u", "v"), "links")
         links.append(more)
         dropped(here, old, *([] if len(links) == 2 else [members]))

@@ -109,3 +109,13 @@ def test_large_buckets_by_differences(spark, monkeypatch):
         rows.append((k, " ".join(edited(r.choice(family), r.randint(0, 3)))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(x) for x in op6.near_duplicates(df).collect()), key=str) == brute(rows)
+
+
+def test_pairs_of_a_bucket_come_once(spark):
+    """All that are far and any on one side and on the other, in either role; sizes of 0 let all of them be near."""
+    r = random.Random(6)
+    rows = [(key, node, r.random() < 0.6, r.random() < 0.7, 0, 0, 0) for key in range(4) for node in r.sample(range(40), 15)]
+    df = spark.createDataFrame(rows, "key long, node long, far boolean, any boolean, parts long, rank long, whole long")
+    want = {(x[0], *sorted((x[1], y[1]))) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and x[2] and y[3]}
+    got = [tuple(x) for x in op6._met_in_buckets(df).collect()]
+    assert sorted(got) == sorted(x[1:] for x in want)
