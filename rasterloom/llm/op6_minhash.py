@@ -48,6 +48,8 @@ SMALL, MANY = 32, 2048
 ROUNDS = 3
 #: Members of a bucket whose parts tell which are common, how many of them must have one, and the most that are put last.
 SAMPLE, OFTEN, COMMON = 128, 3, 1024
+#: Members of a pivot that are joined with what is known of all of them in one place.
+DEALT = 256
 #: Registers in a long of a packed signature, bytes of text signed at once, parts of differences in a batch.
 SLOTS, SIGNED, PARTS = 7, 1 << 20, 1 << 18
 #: Stands for a missing doc_id in joins.
@@ -128,12 +130,17 @@ def _smaller(met: DataFrame) -> DataFrame:
     far: may be the one that isn't near u; any: may be the other; parts of the difference, rank of the shared one, size of the text.
     Two near texts differ in a ninth of their summed sizes at most, so each shares all its parts but these with the other,
     and one near u over 4 / 9 of them with one that isn't: the first shared part is among the first of each. Any order of
-    the parts would do; common ones (by a sample of the members) come last, the others by their hashes.
+    the parts would do; common ones (by a sample of the members) come last, the others by their hashes. The members of a
+    large group are dealt over many tasks, in shares of some DEALT, and evenly where their parts become rows.
     """
     n, whole, near = F.size("parts").cast("long"), F.col("whole"), F.col("near")
     big = met.where("big")
     of = big.groupBy("u").agg(F.count("*").alias("members"), F.max("whole").alias("widest"), F.min(F.when(~near, n)).alias("far_least")).where("far_least is not null")
-    big = big.join(of, "u")
+    # A row for each pivot of over DEALT members.
+    shares = F.broadcast(of.select("u", F.floor(F.col("members") / DEALT).alias("shares")).where("shares > 0"))
+    shared_out = lambda d: d.join(shares, "u", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(0).cast("long"))))).drop("shares")
+    big = big.join(shares, "u", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("v", F.lit(1)), F.col("shares") + 1), F.lit(0).cast("long"))).drop("shares")
+    big = big.join(shared_out(of), ["u", "share"])
     some = big.where(F.pmod(F.xxhash64("v"), F.floor(F.col("members") / SAMPLE) + 1) == 0).select("u", F.explode("parts").alias("part"))
     often = some.groupBy("u", "part").agg(F.count("*").alias("times")).where(F.col("times") >= OFTEN)
     often = often.withColumn("nth", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("times"), "part"))).where(F.col("nth") <= COMMON)
@@ -144,9 +151,10 @@ def _smaller(met: DataFrame) -> DataFrame:
     shared = F.greatest(F.lit(1), F.ceil(n - differ))
     far_first = F.when(near, 0).otherwise(n - shared + 1)
     any_first = F.when(n + differ < F.col("far_least"), 0).otherwise(n - F.greatest(shared, F.floor(n * 4 / 9) + 1) + 1)
-    first = big.join(common, "u", "left").select("u", "v", "whole", n.alias("parts"), far_first.alias("far_first"), any_first.alias("any_first"), F.concat(F.sort_array(F.array_except("parts", known)), F.array_intersect(known, "parts")).alias("ordered"))
+    first = big.join(shared_out(common), ["u", "share"], "left").select("u", "v", "whole", n.alias("parts"), far_first.alias("far_first"), any_first.alias("any_first"), F.concat(F.sort_array(F.array_except("parts", known)), F.array_intersect(known, "parts")).alias("ordered"))
     each = F.posexplode(F.slice("ordered", F.lit(1), F.greatest("far_first", "any_first").cast("int"))).alias("place", "part")
     rank = F.col("place") + F.lit(1).cast("long")
+    first = first.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return first.select("u", "v", "whole", "parts", "far_first", "any_first", each).select(F.xxhash64("u", "part").alias("key"), F.col("v").alias("node"), (rank <= F.col("far_first")).alias("far"), (rank <= F.col("any_first")).alias("any"), "parts", rank.alias("rank"), "whole")
 
 

@@ -119,3 +119,25 @@ def test_pairs_of_a_bucket_come_once(spark):
     want = {(x[0], *sorted((x[1], y[1]))) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and x[2] and y[3]}
     got = [tuple(x) for x in op6._met_in_buckets(df).collect()]
     assert sorted(got) == sorted(x[1:] for x in want)
+
+
+def test_members_of_one_pivot_are_dealt_over_tasks(spark, monkeypatch):
+    """As on tables whose statistics are too large to broadcast: no task gets the rows of a whole group, and the rows don't depend on the shares."""
+    r = random.Random(7)
+    rows = [(b"u", b"%d" % k, True, r.random() < 0.5, 100, r.sample(range(1000), 40)) for k in range(600)] + [(b"w", b"%d" % k, True, k > 0, 100, [5, 6, 7 + k]) for k in range(40)]
+    met = spark.createDataFrame(rows, "u binary, v binary, big boolean, near boolean, whole long, parts array<long>")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = []
+        for dealt in (64, 10_000):
+            monkeypatch.setattr(op6, "DEALT", dealt)
+            smaller = op6._smaller(met)
+            of_task = Counter(x[0] for x in smaller.select(op6.F.spark_partition_id()).collect())
+            assert max(of_task.values()) < 2 * sum(of_task.values()) / 8
+            found.append(Counter(tuple(x) for x in smaller.collect()))
+        assert found[0] == found[1] and found[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
