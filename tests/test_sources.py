@@ -115,3 +115,24 @@ def test_limits_are_refused(spark):
     used = spark.range(300).selectExpr("0 AS file", "id AS idx", "int(id) AS r", "0 AS g", "0 AS b")
     with pytest.raises(ValueError, match="colours"):
         palettes.merge(used.where("idx < 200"), used.where("idx >= 200").selectExpr("int(idx - 200) AS idx", "r", "g", "1 AS b"))
+
+
+@pytest.mark.parametrize("kind", ["tga"])
+def test_image_batches_are_bounded(spark, kind):
+    import pyarrow as pa
+
+    from rasterloom.functions import batches
+
+    r, t = raster(8), raster(24)
+    files = [(f"{k}.{kind}", images.ENCODERS[kind](x)) for k, x in enumerate([r, t] * 2000)] + [("none", b"")]
+    given = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], ["path", "content"])
+    out = list(images._decode(iter([given])))
+    assert len(out) > 1 and all(b.nbytes <= 2 * batches.BATCH_BYTES for b in out)
+    rows = [x for b in out for x in b.to_pylist()]
+    assert [x["image_id"] for x in rows] == [p for p, _ in files] and all(x["data"] == (r, t)[k % 2].data for k, x in enumerate(rows[:-1]))
+    assert [tuple(c.values()) for c in rows[-3]["palette"]] == PAL and rows[-2]["palette"] == [] and rows[-1]["palette"] is None and rows[-1]["error"]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = spark.createDataFrame([("a", 13, 5, 8, PAL, r.data), ("b", 13, 5, 24, [], t.data)], "image_id string, width long, height int, bpp int, palette array<struct<r:int,g:long,b:int>>, data binary")
+    back = {x.image_id: x for x in images.decoded(images.encoded(made, kind)).collect()}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == batches.BATCH_BYTES
+    assert bytes(back[f"a.{kind}"].data) == r.data and list(map(tuple, back[f"a.{kind}"].palette)) == PAL and bytes(back[f"b.{kind}"].data) == t.data
