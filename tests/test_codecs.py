@@ -78,3 +78,23 @@ def test_payloads_too_large_have_no_stream(spark):
     for name in codecs.CODECS:
         got = {x.id: x.decoded for x in codecs.roundtrip(df, "id", "t", name).collect()}
         assert got[0] is None and bytes(got[1]) == b"aaaaa"
+
+
+@pytest.mark.parametrize("name", ["rle"])
+def test_codec_batches_are_bounded(spark, name):
+    import pyarrow as pa
+
+    from rasterloom.functions import batches
+
+    enc, dec = codecs.CODECS[name]
+    raws = [bytes([k]) * 700_000 for k in range(30)] + [b"", None, b"abc"]
+    packed = [r if r is None else enc(r) for r in raws]
+    for f, given, want in ((enc, raws, packed), (codecs.decode_any, packed, raws)):
+        out = list(codecs._each(f, codecs.LIMIT).func(iter([pa.array(given, pa.binary())])))
+        assert [x for b in out for x in b.to_pylist()] == want
+        assert all(b.nbytes <= batches.BATCH_BYTES + 800_000 for b in out)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame([(k, "ab" * 50_000) for k in range(100)] + [(100, None)], "k int, t string").coalesce(1)
+    rows = codecs.roundtrip(df, "k", "t", name).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == batches.BATCH_BYTES
+    assert len(rows) == 101 and all(bytes(r.decoded) == (b"" if r.k == 100 else b"ab" * 50_000) and r.packed_size == len(enc(bytes(r.decoded))) for r in rows)
