@@ -80,7 +80,7 @@ def test_payloads_too_large_have_no_stream(spark):
         assert got[0] is None and bytes(got[1]) == b"aaaaa"
 
 
-@pytest.mark.parametrize("name", ["rle"])
+@pytest.mark.parametrize("name", ["rle", "store"])
 def test_codec_batches_are_bounded(spark, name):
     import pyarrow as pa
 
