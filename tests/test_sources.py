@@ -117,7 +117,7 @@ def test_limits_are_refused(spark):
         palettes.merge(used.where("idx < 200"), used.where("idx >= 200").selectExpr("int(idx - 200) AS idx", "r", "g", "1 AS b"))
 
 
-@pytest.mark.parametrize("kind", ["tga", "png", "bmp"])
+@pytest.mark.parametrize("kind", ["tga", "png", "bmp", "pcx"])
 def test_image_batches_are_bounded(spark, kind):
     import pyarrow as pa
 
