@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, color, names
+from ..functions.batches import bound_batches
 from ..operators import codecs, geometry, palettes, tiles
 from ..sources import export, images
 
@@ -442,6 +443,7 @@ def archive_upsert(spark, d):
 
 @query()
 def c_arrays(spark, d):
+    bound_batches(spark)
     a = _artifacts(spark, d)
     name = F.concat("symbol", F.lit("_"), F.col("doc_id").cast("string"))
     return a.select("doc_id", F.md5(export.c_array(name, F.col("data"), "u16")).alias("c"), F.md5(export.asm_array(name, F.col("data"), "u32")).alias("asm"), export.c_header(name, F.col("data")).alias("header"))

@@ -1,50 +1,69 @@
 """Artifacts (symbol, item, dtype, data) as C and assembler arrays, headers, archives and chunk files.
 
-The text of an array is made by column expressions; archives and chunk files, one a group, in Python.
+The text of an array is made in Python, from Arrow batches; so are archives and chunk files, one a group.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import bound, byte_reverse
+from ..functions.batches import in_batches
 
 #: Fixed by the formats: suffixes of items, bytes and row lengths of element types.
 SUFFIX = {"gfx": "Tiles", "map": "Map", "meta": "Meta", "pal": "Pal"}
 ELEMENT = {"u8": (1, 16, "unsigned char", ".byte"), "u16": (2, 8, "unsigned short", ".hword"), "u32": (4, 8, "unsigned int", ".word")}
 
 
-def elements(data: Column, dtype: str) -> Column:
-    """The little-endian elements of a binary column as an array of 0x... texts, the last one filled up with zeros."""
-    size = ELEMENT[dtype][0]
-    h = F.hex(data)
-    h = F.concat(h, F.repeat(F.lit("00"), F.pmod(-F.octet_length(data), F.lit(size)).cast("int")))
-    return F.regexp_extract_all(byte_reverse(h, size) if size > 1 else h, F.lit(f"([0-9A-F]{{{2 * size}}})"), F.lit(1))
+def _rows(data: bytes, dtype: str, lead: str, end: str) -> str:
+    """The little-endian elements of some bytes in rows, the last element filled up with zeros; a blank line after every eight rows."""
+    size, per, _, _ = ELEMENT[dtype]
+    if not data:
+        return ""
+    data += bytes(-len(data) % size)
+    big = np.frombuffer(data, f"<u{size}").byteswap().tobytes()
+    text = "0x" + big.hex(",", size).upper().replace(",", ",0x")
+    wide = per * (2 * size + 3)
+    rows = [text[k : k + wide - 1] for k in range(0, len(text), wide)]
+    between = f"{end}\n{lead}"
+    blocks = [between.join(rows[k : k + 8]) for k in range(0, len(rows), 8)]
+    return lead + f"{end}\n\n{lead}".join(blocks) + ("\n" if len(rows) % 8 == 0 else "")
 
 
-def _rows(values: Column, per: int, lead: str, end: str) -> Column:
-    """Values in rows, a blank line after every eight."""
-    n = F.ceil(F.size(values) / per).cast("int")
-    row = lambda k: F.concat(F.lit(lead), F.array_join(F.slice(values, k * per + 1, F.lit(per)), ","), F.when(k < n - 1, F.lit(end)).otherwise(""), F.when(k % 8 == 7, F.lit("\n")).otherwise(""))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), row), "\n")).otherwise("")
+def _text(make):
+    """make(symbol, data) as a column function, null without a symbol; data may be None."""
+
+    def made(parts: Iterator[tuple[pa.Array, pa.Array]]):
+        for symbols, data in parts:
+            for s, d in zip(symbols, data, strict=True):
+                text = make(s.as_py(), d.as_py()) if s.is_valid else None
+                yield len(text or ""), text
+
+    @F.arrow_udf("string")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from in_batches(made(parts), lambda rows: pa.array(rows, pa.string()))
+
+    return run
 
 
 def c_array(symbol: Column, data: Column, dtype: str = "u8") -> Column:
     """A definition whose length is that of the data up to a multiple of four bytes."""
-    size, per, kind, _ = ELEMENT[dtype]
-    values = F.transform(elements(data, dtype), lambda v: F.concat(F.lit("0x"), v))
-    return bound(values, lambda v: F.concat(F.lit(f"const {kind} "), symbol, F.lit("["), F.floor(F.ceil(F.octet_length(data) / 4) * 4 / size).cast("string"), F.lit('] __attribute__((aligned(4))) __attribute__((visibility("hidden")))=\n{\n'), _rows(v, per, "\t", ","), F.lit(",\n};\n\n")))
+    size, _, kind, _ = ELEMENT[dtype]
+    make = lambda s, d: d if d is None else f'const {kind} {s}[{(len(d) + 3) // 4 * 4 // size}] __attribute__((aligned(4))) __attribute__((visibility("hidden")))=\n{{\n{_rows(d, dtype, "\t", ",")},\n}};\n\n'
+    return _text(make)(symbol, data)
 
 
 def asm_array(symbol: Column, data: Column, dtype: str = "u8") -> Column:
-    _, per, _, word = ELEMENT[dtype]
-    values = F.transform(elements(data, dtype), lambda v: F.concat(F.lit("0x"), v))
-    return bound(values, lambda v: F.concat(F.lit("\t.section .rodata\n\t.align\t2\n\t.global "), symbol, F.lit("\n"), symbol, F.lit(":\n"), _rows(v, per, f"\t{word} ", ""), F.lit("\n")))
+    word = ELEMENT[dtype][3]
+    make = lambda s, d: f"\t.section .rodata\n\t.align\t2\n\t.global {s}\n{s}:\n{_rows(d or b'', dtype, f'\t{word} ', '')}\n"
+    return _text(make)(symbol, data)
 
 
 def c_header(symbol: Column, data: Column, dtype: str = "u8") -> Column:

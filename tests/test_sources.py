@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.operators.tiles import MapFormat
 from rasterloom.sources import export, images
@@ -136,3 +137,28 @@ def test_image_batches_are_bounded(spark, kind):
     back = {x.image_id: x for x in images.decoded(images.encoded(made, kind)).collect()}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == batches.BATCH_BYTES
     assert bytes(back[f"a.{kind}"].data) == r.data and list(map(tuple, back[f"a.{kind}"].palette)) == PAL and bytes(back[f"b.{kind}"].data) == t.data
+
+
+def array_text(data, dtype, lead, end):
+    size, per = export.ELEMENT[dtype][:2]
+    data += bytes(-len(data) % size)
+    values = ["0x" + data[k : k + size][::-1].hex().upper() for k in range(0, len(data), size)]
+    rows = [values[k : k + per] for k in range(0, len(values), per)]
+    return "\n".join(lead + ",".join(r) + (end if k < len(rows) - 1 else "") + ("\n" if k % 8 == 7 else "") for k, r in enumerate(rows))
+
+
+def test_arrays_of_all_lengths_and_a_long_one_in_time(spark):
+    import time
+
+    rows = [(f"s{n}é", R.randbytes(n)) for n in [*range(70), 127, 128, 129, 255, 256, 257, 511, 512, 513, 2047, 2048, 2049]]
+    df = spark.createDataFrame([*rows, ("n", None), (None, b"abc")], "symbol string, data binary")
+    for dtype, (size, _, kind, word) in export.ELEMENT.items():
+        got = {r.symbol: r for r in df.select("symbol", export.c_array(df.symbol, df.data, dtype).alias("c"), export.asm_array(df.symbol, df.data, dtype).alias("a")).collect()}
+        for s, d in rows:
+            assert got[s].c == f'const {kind} {s}[{-(-len(d) // 4) * 4 // size}] __attribute__((aligned(4))) __attribute__((visibility("hidden")))=\n{{\n{array_text(d, dtype, "\t", ",")},\n}};\n\n'
+            assert got[s].a == f"\t.section .rodata\n\t.align\t2\n\t.global {s}\n{s}:\n{array_text(d, dtype, f'\t{word} ', '')}\n"
+        assert got["n"].c is None and got["n"].a.endswith("n:\n\n") and got[None].c is None and got[None].a is None
+    long = spark.range(1).selectExpr("'x' AS symbol", "cast(repeat('abcdefgh', 1 << 20) AS binary) AS data")
+    begin = time.monotonic()
+    assert long.select(F.length(export.c_array(long.symbol, long.data, "u16")).alias("n")).first().n > 28 << 20
+    assert time.monotonic() - begin < 8
