@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,7 +81,7 @@ def test_payloads_too_large_have_no_stream(spark):
         assert got[0] is None and bytes(got[1]) == b"aaaaa"
 
 
-@pytest.mark.parametrize("name", ["rle", "store"])
+@pytest.mark.parametrize("name", ["rle", "store", "huffman"])
 def test_codec_batches_are_bounded(spark, name):
     import pyarrow as pa
 
@@ -98,3 +99,40 @@ def test_codec_batches_are_bounded(spark, name):
     rows = codecs.roundtrip(df, "k", "t", name).collect()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == batches.BATCH_BYTES
     assert len(rows) == 101 and all(bytes(r.decoded) == (b"" if r.k == 100 else b"ab" * 50_000) and r.packed_size == len(enc(bytes(r.decoded))) for r in rows)
+
+
+def test_huffman_looks_up_faster_than_bit_by_bit_in_bounded_memory(monkeypatch):
+    import time
+    import tracemalloc
+
+    r, laid = random.Random(7), []
+    made = codecs._laid_out
+    monkeypatch.setattr(codecs, "_laid_out", lambda t: laid.append(t) or made(t))
+    raw = bytes(min(255, int(r.expovariate(0.03))) for _ in range(300_000))
+    packed = codecs.huffman_encode(raw)
+    assert len(laid) == 1
+    tree, body = packed[5 : 4 + 2 * (packed[4] + 1)], packed[4 + 2 * (packed[4] + 1) :]
+    times = []
+    for f, args in ((codecs._symbols, (tree, body, len(raw))), (codecs.huffman_decode, (packed,)), (codecs.huffman_decode, (packed,))):
+        begin = time.process_time()
+        assert f(*args) == raw
+        times.append(time.process_time() - begin)
+    assert 3 * min(times[1:]) < times[0]
+    tracemalloc.start()
+    packed = codecs.huffman_encode(raw * 20)
+    assert tracemalloc.get_traced_memory()[1] < 4 * 20 * len(raw)
+    tracemalloc.stop()
+    assert codecs.huffman_decode(packed) == raw * 20
+
+
+def test_steps_are_followed_to_any_number_of_places():
+    r = random.Random(8)
+    for _ in range(200):
+        steps = np.array([r.randrange(1, 21) for _ in range(r.randrange(1, 90))], np.uint8)
+        at, most = r.randrange(0, 25), r.randrange(1, 60)
+        want, k = [], at
+        while k < len(steps) and len(want) < most:
+            want.append(k)
+            k += int(steps[k])
+        places, beyond = codecs._followed(steps, at, most)
+        assert places.tolist() == want and (len(want) == most or beyond == k - len(steps))
