@@ -81,7 +81,7 @@ def test_payloads_too_large_have_no_stream(spark):
         assert got[0] is None and bytes(got[1]) == b"aaaaa"
 
 
-@pytest.mark.parametrize("name", ["rle", "store", "huffman"])
+@pytest.mark.parametrize("name", ["rle", "store", "lz77", "huffman"])
 def test_codec_batches_are_bounded(spark, name):
     import pyarrow as pa
 
@@ -136,3 +136,20 @@ def test_steps_are_followed_to_any_number_of_places():
             k += int(steps[k])
         places, beyond = codecs._followed(steps, at, most)
         assert places.tolist() == want and (len(want) == most or beyond == k - len(steps))
+
+
+@pytest.mark.parametrize("block", [37, codecs.LZ_BLOCK])
+def test_bounds_of_matches_change_no_stream(monkeypatch, block):
+    def plain(raw):
+        at = 0
+        while at < len(raw):
+            best, where = codecs._longest(raw, at, min(18, len(raw) - at))
+            yield (best, at - where) if best else (0, raw[at])
+            at += best or 1
+
+    r = random.Random(9)
+    monkeypatch.setattr(codecs, "LZ_BLOCK", block)
+    for raw in [*payloads(), *(bytes(r.choice(b"abcdefgh"[:k]) for _ in range(r.randrange(400))) for k in range(1, 9) for _ in range(8)), b"".join(r.choice([b"some ", b"words ", b"again ", r.randbytes(3)]) for _ in range(4000))]:
+        bounds = codecs._bounds(raw)
+        assert len(bounds) == len(raw) and all(bounds[at] >= codecs._longest(raw, at, min(18, len(raw) - at))[0] for at in range(0, len(raw), 7))
+        assert list(codecs.lz_tokens(codecs.lz_encode(raw))) == list(plain(raw))
